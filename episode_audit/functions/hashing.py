@@ -11,6 +11,14 @@ KEY_PREFIX = "02"
 HASH_BYTES = 32
 
 
+def bind(value: Column, function) -> Column:
+    """`function(value)` with the value computed once, however often it is used.
+
+    For derived values only: a stored column is cheaper to read directly.
+    """
+    return F.get(F.transform(F.array(value), function), 0)
+
+
 def binary(hex_text: str) -> Column:
     return F.unhex(F.lit(hex_text))
 
@@ -43,8 +51,12 @@ def file_leaf(path: Column, content_hash: Column) -> Column:
 
 
 def big_endian(value: Column, width: int) -> Column:
-    """Unsigned big-endian bytes of a non-negative integer column."""
-    return F.unhex(F.lpad(F.hex(value.cast("bigint")), 2 * width, "0"))
+    """Unsigned big-endian bytes of an integer column; null where it does not fit."""
+    value = value.cast("bigint")
+    fits = value >= 0
+    if width < 8:
+        fits = fits & (value < 2 ** (8 * width))
+    return F.when(fits, F.unhex(F.lpad(F.hex(value), 2 * width, "0")))
 
 
 def read_big_endian(record: Column, start: int, width: int) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("claims",)
+MODULES = ("claims", "record_rows")
 
 
 def load_all():
