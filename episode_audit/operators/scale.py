@@ -19,11 +19,11 @@ GROUP_BITS = 10  # chunk rows handled together in one window partition
 
 
 def _running(chunks: DataFrame, key: Sequence[str], with_tail: bool) -> DataFrame:
-    """Add rows-before (`_off`) and last-values-before (`_carry`) to chunk rows."""
+    """Add rows-before (`_off`) and last non-null tail before (`_carry`) to chunk rows."""
     grouped = chunks.withColumn("_group", F.expr(f"shiftright(_chunk, {GROUP_BITS})"))
     totals = [F.sum("_n").alias("_n")]
     if with_tail:
-        totals.append(F.max_by("_tail", "_chunk").alias("_tail"))
+        totals.append(F.max_by("_tail", F.when(F.col("_tail").isNotNull(), F.col("_chunk"))).alias("_tail"))
     groups = grouped.groupBy(*key, "_group").agg(*totals)
     # One row per 2^GROUP_BITS chunks: small even for a key that holds a third
     # of the data.
@@ -31,14 +31,14 @@ def _running(chunks: DataFrame, key: Sequence[str], with_tail: bool) -> DataFram
     before = over_groups.rowsBetween(Window.unboundedPreceding, -1)
     columns = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_group_off")]
     if with_tail:
-        columns.append(F.lag("_tail").over(over_groups).alias("_group_carry"))
+        columns.append(F.last("_tail", ignorenulls=True).over(before).alias("_group_carry"))
     groups = groups.select(*key, "_group", *columns)
 
     inside = Window.partitionBy(*key, "_group").orderBy("_chunk")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     columns = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_in_off")]
     if with_tail:
-        columns.append(F.lag("_tail").over(inside).alias("_in_carry"))
+        columns.append(F.last("_tail", ignorenulls=True).over(before).alias("_in_carry"))
     joined = grouped.select("*", *columns).join(groups, [*key, "_group"])
     out = [*key, "_chunk", (F.col("_group_off") + F.col("_in_off")).alias("_off")]
     if with_tail:
@@ -92,6 +92,43 @@ def chunked_series(
     )
 
 
+def nearest_mark(
+    rows: DataFrame,
+    marks: DataFrame,
+    key: Sequence[str],
+    at: Column,
+    mark_at: Column,
+    take: Sequence[str],
+    width: int,
+    direction: str = "after",
+) -> DataFrame:
+    """As-of join: the nearest mark at or after (or at or before) each row.
+
+    Positions are integers; `width` of them form a chunk. `take` columns of the
+    mark are null where no mark qualifies. Rows and marks are sorted together
+    inside a chunk, and the nearest mark outside it arrives with the chunk row.
+    Of several marks at one position the one with the greatest `take` values wins.
+    """
+    key = list(key)
+    sign = -1 if direction == "after" else 1
+    left = rows.select(
+        *key, (at * sign).cast("bigint").alias("_p"), F.lit(1).alias("_kind"), F.struct(*rows.columns).alias("_row"),
+    )
+    right = marks.select(
+        *key, (mark_at * sign).cast("bigint").alias("_p"), F.lit(0).alias("_kind"), F.struct(*take).alias("_mark"),
+    )
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("_chunk", F.expr(f"_p div {width} - int(_p % {width} < 0)").cast("bigint"))
+    inside = Window.partitionBy(*key, "_chunk").orderBy("_p", "_kind", "_mark").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_seen", F.last("_mark", ignorenulls=True).over(inside)).filter(F.col("_kind") == 1)
+    chunks = both.groupBy(*key, "_chunk").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.max_by("_mark", F.when(F.col("_kind") == 0, F.struct("_p", "_mark"))).alias("_tail"),
+    )
+    joined = seen.join(_running(chunks, key, True), [*key, "_chunk"])
+    mark = F.coalesce("_seen", "_carry")
+    return joined.select("_row.*", *(mark.getField(c).alias(c) for c in take))
+
+
 def positions(
     df: DataFrame,
     key: Sequence[str],

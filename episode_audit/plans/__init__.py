@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("claims", "record_rows")
+MODULES = ("claims", "record_rows", "lookups")
 
 
 def load_all():
