@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("claims", "record_rows", "lookups")
+MODULES = ("claims", "record_rows", "lookups", "digests")
 
 
 def load_all():

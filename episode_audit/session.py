@@ -6,8 +6,10 @@ that a cluster has already created.
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
@@ -24,6 +26,9 @@ RUNTIME_SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
+    """Apply the runtime settings; safe to call again."""
+    # Functions sent to executors carry this package's code with them.
+    cloudpickle.register_pickle_by_value(sys.modules[__package__])
     for key, value in RUNTIME_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
