@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("claims", "record_rows", "lookups", "digests", "frame_checks")
+MODULES = ("claims", "record_rows", "lookups", "digests", "frame_checks", "near_copies", "anchors")
 
 
 def load_all():
