@@ -51,15 +51,21 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
     return configure(spark)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder.
 
-    The folder is only chosen here when the session names none, which happens
-    in local tests; on a cluster it is shared storage and survives executors.
+    It is only chosen here when the session names none, which happens in local
+    tests; on a cluster it is shared storage and outlives executors.
     """
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and (
-        context._jsc.sc().getCheckpointDir().isEmpty()
-    ):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="episode-audit-checkpoint-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isEmpty():
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="episode-audit-checkpoint-"))
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return named or current.get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: computed once, and not computed again when executors are lost."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
