@@ -215,11 +215,13 @@ def verify_files(spark, sf_dir):
     documents = P.table(spark, sf_dir, "documents")
     fingerprint = lambda text: (F.octet_length(text).cast("bigint").alias("bytes"), F.sha2(H.utf8(text), 256).alias("hash"))
     expected = documents.select(i.alias("episode"), path, *fingerprint(F.col("text")))
-    sent = F.when(i % 40 == 1, F.concat(F.substring("text", 1, 0), F.lit("#"), F.expr("substring(text, 2)"))).when(i % 40 == 2, F.concat("text", F.lit("#"))).otherwise(F.col("text"))
-    # every text starts with a letter, so replacing the first character changes the content;
-    # a first character of two bytes is replaced by two
+    # the first character replaced by as many bytes: same size, other content
     wide = F.octet_length(F.substring("text", 1, 1))
-    sent = F.when(i % 40 == 1, F.concat(F.repeat(F.lit("#"), wide), F.expr("substring(text, 2)"))).otherwise(sent)
+    sent = (
+        F.when(i % 40 == 1, F.concat(F.repeat(F.lit("#"), wide), F.expr("substring(text, 2)")))
+        .when(i % 40 == 2, F.concat("text", F.lit("#")))
+        .otherwise(F.col("text"))
+    )
     delivered = documents.filter(i % 40 != 3).select(path, *fingerprint(sent))
     return R.verify_files(expected, delivered).select("episode", "path", "status")
 
@@ -232,41 +234,42 @@ def consent_of(idx) -> tuple:
     return H.consent_key(record), H.revocation_value(record)
 
 
-def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every member of every collection with all that a report proves."""
+def report_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(members, records): every placement in a collection, and every record with its proofs."""
     leaves = P.leaves(spark, sf_dir).select("idx", "leaf")
     size = leaves.count()
     key, value = consent_of(F.col("idx"))
     revocations = cut_lineage(withdrawn(spark, sf_dir).select(key.alias("key"), value.alias("value")))
     count = revocations.count()
-    keyed = leaves.select("idx", key.alias("key"))
-    consent = R.consent_proofs(keyed, revocations, count)
     record = F.concat_ws(
         "|", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), "o_orderstatus", P.cents("o_totalprice").cast("string")
     )
+    detail = F.concat(F.lit('{"check_version":"v1","thresholds":{"t":'), (F.col("o_custkey") % 9).cast("string"), F.lit("}}"))
     details = P.table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("idx"), H.utf8(record).alias("record"),
-        F.concat(F.lit('{"check_version":"v1","thresholds":{"t":'), (F.col("o_custkey") % 9).cast("string"), F.lit("}}")).alias("detail"),
+        F.col("o_orderkey").alias("idx"), H.utf8(record).alias("record"), detail.alias("detail"), H.digest(H.utf8(detail)).alias("detail_hash"),
     )
-    details = details.withColumn("detail_hash", H.digest(H.utf8(F.col("detail"))))
-    # everything that belongs to the record alone is joined before the record meets its collections
-    per_record = details.join(keyed, "idx").join(consent, "key")
-    proven = R.prove_members(members(spark, sf_dir), leaves, size, P.index_chunk())
+    keyed = details.select("*", key.alias("key"))
+    consent = R.consent_proofs(keyed.select("key"), revocations, count)
+    log_proofs = M.inclusion_proofs(leaves, size).select("idx", "leaf", F.col("proof").alias("log_proof"))
     heads = M.root(leaves, size).select(F.col("root").alias("log_root"), F.lit(1).alias("_one"))
     tree = S.root(revocations, count).select(F.col("root").alias("revocation_root"), F.lit(1).alias("_one"))
     head = F.broadcast(heads.join(tree, "_one"))  # exactly one row
-    return (
-        proven.join(per_record, "idx").withColumn("_one", F.lit(1)).join(head, "_one").drop("_one").withColumn("log_size", F.lit(size).cast("bigint"))
+    records = (
+        keyed.join(consent, "key").join(log_proofs, "idx").withColumn("_one", F.lit(1)).join(head, "_one").drop("_one")
+        .withColumn("log_size", F.lit(size).cast("bigint"))
     )
+    return R.prove_members(members(spark, sf_dir), leaves, size, P.index_chunk()), records
 
 
 @query("corpus_report")
 def corpus_report(spark, sf_dir):
     """Per collection: members, revoked members, failed proof steps and the report digest."""
-    rows = cut_lineage(report_rows(spark, sf_dir))
-    steps = R.verify_report(rows).groupBy("corpus").agg(F.count_if(~F.col("ok")).alias("violations"))
+    placed, records = report_tables(spark, sf_dir)
+    placed, records = cut_lineage(placed), cut_lineage(records)
+    steps = R.verify_report(placed, records).groupBy("corpus").agg(F.count_if(~F.col("ok")).alias("violations"))
     badges = folded(spark, sf_dir).select(F.col("subject").alias("idx"), F.array_join("badges", " + ").alias("badges"))
-    full = rows.join(badges, "idx")
+    facts = records.select("idx", "revoked", "detail_hash", "log_root").join(badges, "idx")
+    full = placed.drop("corpus_proof").join(facts, "idx")
     totals = full.groupBy("corpus").agg(
         F.count(F.lit(1)).alias("episodes"), F.count_if("revoked").alias("revoked_members"), F.count_if(F.col("badges").contains("L3")).alias("checked"),
     )
@@ -286,16 +289,12 @@ FROM members, steps GROUP BY corpus, step""",
 )
 def report_verification(spark, sf_dir):
     """A damaged report: each step names how many episodes it refuses."""
-    rows = report_rows(spark, sf_dir)
+    placed, records = report_tables(spark, sf_dir)
     hit = lambda n: F.col("idx") % 40 == n
     damage = lambda c, n: F.when(hit(n), H.digest(F.col(c))).otherwise(F.col(c)).alias(c)
-    cut = lambda c, n: F.when(hit(n), F.concat(c, F.array("leaf"))).otherwise(F.col(c)).alias(c)
-    changed = {
-        "record": damage("record", 1),
-        "log_proof": cut("log_proof", 2),
-        "corpus_proof": cut("corpus_proof", 3),
-        "value": damage("value", 4),
-        "detail": F.when(hit(5), F.concat("detail", F.lit(" "))).when(hit(6), F.lit('{"check_version":"v1"}')).otherwise(F.col("detail")).alias("detail"),
-    }
-    damaged = rows.select(*(changed.get(c, F.col(c)) for c in rows.columns))
-    return R.verify_report(damaged).groupBy("corpus", "step").agg(F.count(F.lit(1)).alias("checked"), F.count_if(~F.col("ok")).alias("failed"))
+    longer = lambda c, n: F.when(hit(n), F.concat(c, F.array("leaf"))).otherwise(F.col(c)).alias(c)
+    detail = F.when(hit(5), F.concat("detail", F.lit(" "))).when(hit(6), F.lit('{"check_version":"v1"}')).otherwise(F.col("detail"))
+    changed = {"record": damage("record", 1), "log_proof": longer("log_proof", 2), "value": damage("value", 4), "detail": detail.alias("detail")}
+    records = records.select(*(changed.get(c, F.col(c)) for c in records.columns))
+    placed = placed.withColumn("corpus_proof", longer("corpus_proof", 3))
+    return R.verify_report(placed, records).groupBy("corpus", "step").agg(F.count(F.lit(1)).alias("checked"), F.count_if(~F.col("ok")).alias("failed"))
