@@ -249,7 +249,7 @@ def report_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
         F.col("o_orderkey").alias("idx"), H.utf8(record).alias("record"), detail.alias("detail"), H.digest(H.utf8(detail)).alias("detail_hash"),
     )
     keyed = details.select("*", key.alias("key"))
-    consent = R.consent_proofs(keyed.select("key"), revocations, count)
+    consent = R.consent_proofs(keyed.select("key"), revocations, size)
     log_proofs = M.inclusion_proofs(leaves, size).select("idx", "leaf", F.col("proof").alias("log_proof"))
     heads = M.root(leaves, size).select(F.col("root").alias("log_root"), F.lit(1).alias("_one"))
     tree = S.root(revocations, count).select(F.col("root").alias("revocation_root"), F.lit(1).alias("_one"))

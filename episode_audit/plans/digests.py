@@ -234,7 +234,7 @@ def revocation_proofs(spark, sf_dir):
     count = entries.count()
     record = H.digest(H.utf8(F.concat(F.lit("consent-"), F.col("doc_id").cast("string"))))
     probes = P.table(spark, sf_dir, "documents").select("doc_id", H.consent_key(record).alias("key"))
-    proofs = S.proofs(entries, probes, count)
+    proofs = S.proofs(entries, probes, max(count, P.table(spark, sf_dir, "documents").count()))
     known = entries.select("key", "value")
     joined = probes.join(proofs, "key").join(known, "key", "left")
     value = F.coalesce("value", F.unhex(F.lit("00" * 32)))
