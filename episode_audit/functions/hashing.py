@@ -11,14 +11,6 @@ KEY_PREFIX = "02"
 HASH_BYTES = 32
 
 
-def bind(value: Column, function) -> Column:
-    """`function(value)` with the value computed once, however often it is used.
-
-    For derived values only: a stored column is cheaper to read directly.
-    """
-    return F.get(F.transform(F.array(value), function), 0)
-
-
 def binary(hex_text: str) -> Column:
     return F.unhex(F.lit(hex_text))
 

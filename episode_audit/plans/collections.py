@@ -18,7 +18,7 @@ from ..session import cut_lineage
 from . import proxies as P
 from .claims import FOLD_SQL, MEMBERS_SQL, folded, members
 from .digests import corpus_leaves, tree_sql
-from .record_rows import RECORDS_SQL, record_table
+from .record_rows import RECORDS_SQL, stored_records
 from .registry import query
 
 
@@ -182,7 +182,7 @@ FROM (SELECT * FROM recs WHERE kind = 3) r ASOF JOIN anchors ON idx < size""",
 )
 def record_rederivation(spark, sf_dir):
     """Collection records derived again and compared with what the log holds."""
-    rows = cut_lineage(record_table(spark, sf_dir).select("idx", "kind", "record", "manifest", "payload", "terms", "task", "cust", "at"))
+    rows = stored_records(spark, sf_dir)
     c = F.col
     derived = records.encode(
         fixed.CORPUS_LAYOUT,

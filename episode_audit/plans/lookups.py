@@ -13,7 +13,7 @@ from ..operators.scale import chunked_series, positions
 from ..sources.inventory import compare
 from . import proxies as P
 from .claims import MEMBERS_SQL, members
-from .record_rows import CONSENT_SQL, RECORDS_SQL, consent_records, record_table
+from .record_rows import CONSENT_SQL, RECORDS_SQL, consent_records, stored_records
 from .registry import query
 
 
@@ -185,7 +185,7 @@ FROM recs WHERE problem IS NULL AND kind = 3 AND cust % 10 BETWEEN 1 AND 4""",
 def facts_mismatch(spark, sf_dir):
     """Sealing parameters against the logged record: number of the first difference."""
     record, layout = F.col("record"), fixed.CORPUS_LAYOUT
-    rows = record_table(spark, sf_dir).withColumn("kind", H.bind(record, records.record_kind)).filter(F.col("kind") == "corpus")
+    rows = stored_records(spark, sf_dir).withColumn("kind", records.record_kind(record)).filter(F.col("kind") == "corpus")
     logged = rows.select(
         "idx", *(records.field(layout, record, n).alias(n) for n in ("corpus_manifest_hash", "corpus_root", "terms_hash", "episode_count"))
     )

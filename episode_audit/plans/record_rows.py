@@ -9,6 +9,7 @@ from .. import fixed_values as fixed
 from ..functions import draws, records, text, validate
 from ..functions import hashing as H
 from ..operators.scenes import draw_scene, scene_digest
+from ..session import cut_lineage
 from . import proxies as P
 from .registry import query
 
@@ -179,6 +180,11 @@ vals AS (
   FROM orders)"""
 
 
+def stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record table as it would be stored: decoding reads a plain binary column."""
+    return cut_lineage(record_table(spark, sf_dir))
+
+
 def record_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded records, some damaged: cut short, unknown version, empty."""
     c = F.col
@@ -273,7 +279,7 @@ FROM recs WHERE problem IS NULL""",
 )
 def record_decode(spark, sf_dir):
     record = F.col("record")
-    known = record_table(spark, sf_dir).select("idx", "record").withColumn("kind", H.bind(record, records.record_kind))
+    known = stored_records(spark, sf_dir).select("idx", "record").withColumn("kind", records.record_kind(record))
     known = known.filter(F.col("kind") != "error")
 
     def pick(**fields: str):
@@ -308,10 +314,10 @@ FROM recs GROUP BY 1, 2""",
 def record_kinds(spark, sf_dir):
     record = F.col("record")
     return (
-        record_table(spark, sf_dir)
+        stored_records(spark, sf_dir)
         .select(
-            H.bind(record, records.record_kind).alias("kind"),
-            F.coalesce(H.bind(record, records.record_problem), F.lit("")).alias("problem"),
+            records.record_kind(record).alias("kind"),
+            F.coalesce(records.record_problem(record), F.lit("")).alias("problem"),
         )
         .groupBy("kind", "problem")
         .agg(F.count(F.lit(1)).alias("records"))
@@ -329,13 +335,10 @@ def fact_filter(spark, sf_dir):
     record, layout = F.col("record"), fixed.EPISODE_LAYOUT
     value = lambda name: records.field(layout, record, name)
 
-    def wanted(r):
-        fact = lambda name: records.field(layout, r, name)
-        return (records.record_kind(r) == "episode") & (fact("success_flag") == 1) & (fact("quality_score") >= 5000)
-
     return (
-        record_table(spark, sf_dir)
-        .filter(H.bind(record, wanted))
+        stored_records(spark, sf_dir)
+        .filter(records.record_kind(record) == "episode")
+        .filter((value("success_flag") == 1) & (value("quality_score") >= 5000))
         .select(
             "idx", H.hex_text(value("task_id")).alias("task_id"), value("quality_score").alias("quality_score"),
             value("world_seed").alias("world_seed"),
@@ -354,7 +357,7 @@ UNION ALL SELECT idx, 'claim', NULL, NULL, cust % 8 FROM recs WHERE problem IS N
 def union_kinds(spark, sf_dir):
     """Tables of different kinds brought under one schema."""
     record = F.col("record")
-    known = record_table(spark, sf_dir).select("idx", "record", H.bind(record, records.record_kind).alias("kind"))
+    known = stored_records(spark, sf_dir).select("idx", "record", records.record_kind(record).alias("kind"))
     wanted = {"capture": ["duration_ms"], "episode": ["duration_ms"], "corpus": ["episode_count"], "claim": ["check_id"]}
     parts = []
     for _, (kind, layout) in fixed.RECORD_KINDS.items():
