@@ -52,8 +52,21 @@ def big_endian(value: Column, width: int) -> Column:
 
 
 def read_big_endian(record: Column, start: int, width: int) -> Column:
-    """Integer at 0-based byte `start`; widths up to 7 bytes, or 8 below 2^63."""
-    return F.conv(F.hex(F.substring(record, start + 1, width)), 16, 10).cast("bigint")
+    """Integer at 0-based byte `start`; null for 8 bytes that hold 2^63 or more."""
+    return F.conv(F.hex(F.substring(record, start + 1, width)), 16, 10).try_cast("bigint")
+
+
+def unsigned_big_endian(value: Column) -> Column:
+    """8 bytes of an integer up to 2^64 - 1 given as bigint, decimal or digits; null where it does not fit."""
+    number = value.try_cast("decimal(38,0)")
+    return F.when(
+        (number >= 0) & (number < F.lit(str(2**64)).cast("decimal(38,0)")), F.unhex(F.lpad(F.conv(number.cast("string"), 10, 16), 16, "0"))
+    )
+
+
+def read_unsigned(record: Column, start: int) -> Column:
+    """The 8 bytes at 0-based `start` as decimal(20,0)."""
+    return F.conv(F.hex(F.substring(record, start + 1, 8)), 16, 10).cast("decimal(20,0)")
 
 
 def consent_key(record: Column) -> Column:

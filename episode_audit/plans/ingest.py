@@ -97,7 +97,7 @@ def episode_record(submitted_at: int) -> Column:
             "duration_ms": m("duration_ms"),
             "scope_bits": m("scope_bits"),
             "channels": F.least(F.size(m("channels")), F.lit(255)),
-            "world_seed": F.coalesce(F.conv(m("sim").getField("world_seed"), 10, 10).cast("bigint"), F.lit(0)),
+            "world_seed": F.coalesce(m("sim").getField("world_seed").try_cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)")),
             "success_flag": F.when(m("outcome").getField("success"), 1).otherwise(0),
             "quality_score": F.lit(0),
         },

@@ -296,7 +296,7 @@ def record_decode(spark, sf_dir):
         H.hex_text(first).alias("first_hash"),
         pick(capture="captured_at", episode="captured_at", corpus="sealed_at", claim="issued_at").alias("recorded_at"),
         pick(capture="duration_ms", episode="duration_ms").alias("duration_ms"),
-        pick(episode="world_seed").alias("world_seed"),
+        pick(episode="world_seed").cast("bigint").alias("world_seed"),
         pick(episode="quality_score").alias("quality_score"),
         pick(corpus="episode_count").alias("episode_count"),
         pick(claim="check_id").alias("check_id"),
@@ -341,7 +341,7 @@ def fact_filter(spark, sf_dir):
         .filter((value("success_flag") == 1) & (value("quality_score") >= 5000))
         .select(
             "idx", H.hex_text(value("task_id")).alias("task_id"), value("quality_score").alias("quality_score"),
-            value("world_seed").alias("world_seed"),
+            value("world_seed").cast("bigint").alias("world_seed"),
         )
     )
 

@@ -139,7 +139,10 @@ def flag_bursts(stream: DataFrame, key: str, capacity: int = fixed.BURST_CAPACIT
 
 def drain_bursts(spark: SparkSession, folder: str, pattern: str, schema: T.StructType, capacity: int, refill_s: float) -> DataFrame:
     """Run the burst job over all files matching a pattern and read back its output."""
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+    # a micro-batch is sorted per key in memory, so its size is bounded
+    stream = (
+        spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxBytesPerTrigger", str(256 << 20)).parquet(folder)
+    )
     requests = stream.select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), "event_id")
     out = shared_folder(spark, "bursts")
     query = (

@@ -74,6 +74,17 @@ def test_record_round_trip_and_errors(spark):
     assert [r[0] for r in raw.select(records.record_problem(F.col("rec"))).collect()] == ["empty record", "unknown version", "wrong length for version"]
 
 
+def test_whole_64_bit_range(spark):
+    rows = spark.createDataFrame([("0",), ("18446744073709551615",), ("9223372036854775808",), ("18446744073709551616",), ("-1",)], "t string")
+    packed = rows.withColumn("b", hashing.unsigned_big_endian(F.col("t")))
+    got = packed.select("t", "b", hashing.read_unsigned(F.col("b"), 0).alias("n"), hashing.read_big_endian(F.col("b"), 0, 8).alias("signed")).collect()
+    assert [None if r.n is None else str(r.n) for r in got] == ["0", "18446744073709551615", "9223372036854775808", None, None]
+    assert [r.signed for r in got] == [0, None, None, None, None]
+    late = b"\x04" + b"x" * 128 + b"\x00\x02\x01\x03" + b"\xff" * 8
+    bad = spark.createDataFrame([(bytearray(late),)], "rec binary").select(records.record_problem(F.col("rec"))).first()[0]
+    assert bad == "value out of range"
+
+
 @pytest.mark.parametrize(
     "path, problem",
     [
