@@ -122,3 +122,19 @@ def terms_state(events: DataFrame) -> DataFrame:
     return events.groupBy("terms").agg(
         F.bool_or(F.col("event") == "published").alias("published"), F.bool_or(F.col("event") == "retired").alias("retired")
     ).withColumn("saleable", F.col("published") & ~F.col("retired"))
+
+
+def admit_licences(attempts: DataFrame, corpora: DataFrame, terms: DataFrame) -> DataFrame:
+    """Adds `outcome` to licence attempts (column corpus): licensed, or the first rule that refuses.
+
+    corpora: corpus, terms, open. terms: terms, published, retired.
+    """
+    offers = corpora.join(terms.select("terms", "published", "retired"), "terms", "left").withColumn("_known", F.lit(True))
+    joined = attempts.join(offers, "corpus", "left")
+    refused = first_failing(
+        (F.col("_known").isNull(), "unknown corpus"),
+        (~F.col("open"), "corpus closed"),
+        (~F.coalesce("published", F.lit(False)), "unknown terms"),
+        (F.coalesce("retired", F.lit(False)), "terms retired"),
+    )
+    return joined.select(*attempts.columns, F.coalesce(refused, F.lit("licensed")).alias("outcome"))

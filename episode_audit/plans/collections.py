@@ -81,12 +81,12 @@ def receipts_by_buyer(spark, sf_dir):
     return positions(rows, ["buyer"], ["receipt"], P.index_chunk("receipt"), name="position")
 
 
-@query(
-    "terms_state",
-    """WITH e AS (SELECT o_custkey % 500 AS terms, CASE WHEN o_orderstatus = 'P' AND o_orderkey % 20 = 0 THEN 'retired' WHEN o_orderstatus = 'O' THEN 'published' END AS event FROM orders)
-SELECT terms, bool_or(event = 'published') AS published, bool_or(event = 'retired') AS retired, bool_or(event = 'published') AND NOT bool_or(event = 'retired') AS saleable
-FROM e WHERE event IS NOT NULL GROUP BY terms""",
-)
+TERMS_SQL = """e AS (SELECT o_custkey % 500 AS terms, CASE WHEN o_orderstatus = 'P' AND o_orderkey % 20 = 0 THEN 'retired' WHEN o_orderstatus = 'O' THEN 'published' END AS event FROM orders),
+terms AS (SELECT terms, bool_or(event = 'published') AS published, bool_or(event = 'retired') AS retired,
+  bool_or(event = 'published') AND NOT bool_or(event = 'retired') AS saleable FROM e WHERE event IS NOT NULL GROUP BY terms)"""
+
+
+@query("terms_state", "WITH " + TERMS_SQL + " SELECT * FROM terms")
 def terms_state(spark, sf_dir):
     status = F.col("o_orderstatus")
     events = P.table(spark, sf_dir, "orders").select(
@@ -96,6 +96,24 @@ def terms_state(spark, sf_dir):
     return G.terms_state(events.filter(F.col("event").isNotNull()))
 
 
+@query(
+    "licence_admission",
+    "WITH " + TERMS_SQL + """
+SELECT o_orderkey AS attempt, o_custkey % (SELECT count(*) + 20 FROM supplier) AS corpus, CASE WHEN s_suppkey IS NULL THEN 'unknown corpus'
+  WHEN s_nationkey % 4 = 0 THEN 'corpus closed' WHEN NOT coalesce(published, false) THEN 'unknown terms' WHEN retired THEN 'terms retired' ELSE 'licensed' END AS outcome
+FROM orders LEFT JOIN supplier ON s_suppkey = o_custkey % (SELECT count(*) + 20 FROM supplier) LEFT JOIN terms ON terms = s_suppkey * 7 % 600""",
+)
+def licence_admission(spark, sf_dir):
+    """Licence attempts on collections: open, with published and unretired terms."""
+    suppliers = P.table(spark, sf_dir, "supplier")
+    known = suppliers.count()
+    attempts = P.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("attempt"), (F.col("o_custkey") % (known + 20)).alias("corpus"))
+    corpora = suppliers.select(
+        F.col("s_suppkey").alias("corpus"), (F.col("s_suppkey") * 7 % 600).alias("terms"), (F.col("s_nationkey") % 4 != 0).alias("open")
+    )
+    return G.admit_licences(attempts, corpora, terms_state(spark, sf_dir))
+
+
 @query(
     "corpus_register",
     "WITH " + MEMBERS_SQL + """

@@ -148,3 +148,33 @@ def test_ingest_appends_validates_and_refuses_repeats(spark, tree):
     again, errors = ingest(spark, f"{tree}/arm-v3", context, log, consents)
     assert [(r.idx, r.episode_index) for r in again.collect()] == [(2, 2)]
     assert sorted((r.episode_index, r.message) for r in errors.filter("code = 'conflict'").collect()) == [(0, "already logged at 0"), (1, "already logged at 1")]
+
+
+def test_ledger_events_batch_and_stream(spark, tmp_path):
+    from episode_audit.sources import ledger_events as L
+
+    h = "0x" + "Ab" * 32
+    rows = [
+        {"corpus": 1, "manifest_hash": h, "corpus_root": h, "supplier": "s", "price": "5", "token": "t"},
+        {"corpus": 2, "manifest_hash": h, "corpus_root": h, "supplier": "s", "price": str(2**128 - 1), "token": "t"},
+        {"corpus": 3, "manifest_hash": "0x12", "corpus_root": h, "supplier": "s", "price": "5", "token": "t"},
+        {"corpus": 4, "manifest_hash": h, "corpus_root": h, "supplier": "s", "price": "-5", "token": "t"},
+        {"corpus": 5, "manifest_hash": h, "corpus_root": h, "supplier": "s", "price": "9" * 38, "token": "t"},
+    ]
+    put(f"{tmp_path}/sealed/a.json", "\n".join(map(json.dumps, rows)).encode())
+    good, bad = L.typed(L.read_events(spark, f"{tmp_path}/sealed", "corpus_sealed"))
+    assert {r.corpus: int(r.price) for r in good.collect()} == {1: 5, 5: int("9" * 38)}
+    assert good.schema["manifest_hash"].dataType.simpleString() == "binary"
+    assert {r.corpus: r.price for r in bad.collect()} == {2: str(2**128 - 1), 3: "5", 4: "-5"}
+    live, _ = L.typed(L.read_events(spark, f"{tmp_path}/sealed", "corpus_sealed", stream=True))
+    query = live.writeStream.format("memory").queryName("sealed").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    assert sorted(r.corpus for r in spark.table("sealed").collect()) == [1, 5]
+
+
+def test_limits_by_machine_type(spark):
+    from episode_audit.operators.checks.kinematics import with_limits
+
+    rows = spark.createDataFrame([(1, "so_arm100"), (2, "unitree_g1"), (3, "no such thing"), (4, None)], "episode int, embodiment string")
+    got = {r.episode: r.max_vel for r in with_limits(rows).collect()}
+    assert got == {1: [4.8] * 5, 2: None, 3: None, 4: None}
