@@ -9,10 +9,8 @@ from .. import fixed_values as fixed
 from ..functions import hashing as H
 from ..operators import ledger as G
 from ..operators import merkle as M
-from ..operators.lookups import first_covering_anchor
 from ..operators.scale import nearest_mark
 from . import proxies as P
-from .digests import ORDER_PREFIX_SQL
 from .registry import query
 
 HEAD_EVERY = 50

@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from episode_audit import fixed_values as fixed
 from episode_audit.operators.checks import kinematics as K
 from episode_audit.operators.checks import motion as MO
 from episode_audit.operators.checks import simulation as SI
