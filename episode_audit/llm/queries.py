@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, Query, table
 from .exact_dedup import mark_copies
 from .mixing import MOST, SEED, SHARE, WEIGHTS, plan_mix
+from .toxicity import fit, score
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +93,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = plan_mix(table(spark, sf_dir, "documents"))
     plan = plan.orderBy(F.asc_nulls_last("first_position"), "id")
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document; rows with crc32(doc_id) mod 5 = 0 were never learned from."""
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return scored.select(
+        "doc_id",
+        F.coalesce(F.expr("pmod(crc32(cast(doc_id as string)), 5) = 0"), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
