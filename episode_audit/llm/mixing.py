@@ -37,7 +37,7 @@ from .common import WORD, fresh, quoted
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 SEED = "mix"
-BIN_ROWS = 20_000
+BIN_ROWS = 2_000
 #: Weight over training time for each entry of WEIGHTS: (time, weight) knots.
 SCHEDULES = (
     ((0.0, 1.0), (1.0, 1.0)),
