@@ -38,6 +38,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import fresh, quoted
 from .toxicity import ragged
@@ -367,7 +368,7 @@ def encode(
             lists = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], lists, same], names=names)
 
-    schema = source.drop(key, text).schema.add(ids_name, "array<int>").add(lossless, "boolean")
+    schema = source.drop(key, text).schema.add(ids_name, ArrayType(IntegerType())).add(lossless, "boolean")
     return source.mapInArrow(run, schema)
 
 
