@@ -54,8 +54,13 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(full), np.bincount(row, minlength=len(lists))
 
 
-def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def grams(words: list[str], step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers of each word's n-grams, and how many each word has (one at least)."""
+    parts = [grams_of(words[k : k + step]) for k in range(0, len(words), step)] or [grams_of([])]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     marked = [f"<{w.strip(EDGES) or w}>" for w in words]
     sizes = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
     codes = np.frombuffer("".join(marked).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
@@ -85,7 +90,7 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         all_found, all_owner = np.concatenate(found or [rolling]), np.concatenate(owner or [word_of])
         buckets = ((all_found * mix) >> np.uint64(64 - 18)).astype(np.int64) % BUCKETS
     order = np.argsort(all_owner, kind="stable")
-    return buckets[order], np.bincount(all_owner, minlength=len(marked))
+    return buckets[order].astype(np.int32), np.bincount(all_owner, minlength=len(marked))
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
