@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, Query, table
 from .exact_dedup import mark_copies
 from .mixing import MOST, SEED, SHARE, WEIGHTS, plan_mix
+from .parity_join import components
 from .pieces import encode
 from .toxicity import fit, score
 
@@ -114,3 +115,9 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text with merge-dropout, and whether they decode to the text."""
     encoded = encode(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return encoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "lossless")
+
+
+@query("op9_parity_join")
+def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle set size and component of every document."""
+    return components(table(spark, sf_dir, "documents"))

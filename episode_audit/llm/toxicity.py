@@ -93,6 +93,16 @@ def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return buckets[order].astype(np.int32), np.bincount(all_owner, minlength=len(marked))
 
 
+def word_effects(effect: np.ndarray, gram_of: np.ndarray, gram_count: np.ndarray, step: int = 20_000) -> np.ndarray:
+    """The mean effect of each word's n-grams."""
+    starts, out = np.cumsum(gram_count) - gram_count, np.empty(len(gram_count))
+    for k in range(0, len(gram_count), step):
+        counts = gram_count[k : k + step]
+        part = gram_of[starts[k] : starts[k] + counts.sum()]
+        out[k : k + step] = np.add.reduceat(effect[part], starts[k : k + step] - starts[k]) / counts
+    return out
+
+
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for each (start, size)."""
     ends = np.cumsum(sizes)
@@ -106,7 +116,7 @@ def passages(counts: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.
     nth = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
     base = np.cumsum(counts) - counts
     inside = np.minimum(nth * step, np.maximum(counts[row] - PASSAGE, 0))
-    return row, base[row] + inside, np.minimum(counts[row], PASSAGE)
+    return row.astype(np.int32), base[row] + inside, np.minimum(counts[row], PASSAGE)
 
 
 class Model:
@@ -153,11 +163,11 @@ class Model:
         self.vectors[touched] -= (VECTOR_RATE * gradient / np.sqrt(self.seen[touched])[:, None]).astype(np.float32)
 
 
-def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
+def train(texts: pa.Array, labels: list[int], seed: int = 7) -> Model:
     """Fit vectors and softmax together."""
     model, rng = Model(seed), np.random.default_rng(seed)
-    flat, counts = split_words(pa.array(texts, pa.string()))
-    coded = flat.dictionary_encode()
+    coded, counts = split_words(texts)
+    coded = coded.dictionary_encode()
     ids = coded.indices.to_numpy()
     gram_of, gram_count = grams(coded.dictionary.to_pylist())
     gram_start = np.cumsum(gram_count) - gram_count
@@ -167,8 +177,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         bad = np.flatnonzero(label == 1)
         if epoch:
             effect, _ = model.effect()
-            word = np.add.reduceat(effect[gram_of], gram_start) / gram_count
-            total = np.concatenate([[0.0], np.cumsum(word[ids])])
+            total = np.concatenate([[0.0], np.cumsum(word_effects(effect, gram_of, gram_count)[ids])])
             logit = (total[start + size] - total[start]) / size
             best = np.full(len(counts), -np.inf)
             np.maximum.at(best, row[bad], logit[bad])
@@ -203,10 +212,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float] | None:
     """Effects of the buckets and the bias; None without labels of both classes."""
-    rows = sorted((r.id, r.label, r.text) for r in training_rows(docs, labels, id_col, text_col).collect())
-    if {r[1] for r in rows} != {0, 1}:
+    rows = training_rows(docs, labels, id_col, text_col).toArrow().sort_by("id")
+    known = rows.column("label").to_pylist()
+    if set(known) != {0, 1}:
         return None
-    return train([r[2] for r in rows], [r[1] for r in rows]).effect()
+    return train(rows.column("text").combine_chunks(), known).effect()
 
 
 def scores_of(texts: pa.Array, effect: np.ndarray, bias: float) -> np.ndarray:
@@ -218,7 +228,7 @@ def scores_of(texts: pa.Array, effect: np.ndarray, bias: float) -> np.ndarray:
         return out
     coded = flat.dictionary_encode()
     gram_of, gram_count = grams(coded.dictionary.to_pylist())
-    word = np.add.reduceat(effect[gram_of], np.cumsum(gram_count) - gram_count) / gram_count
+    word = word_effects(effect, gram_of, gram_count)
     total = np.concatenate([[0.0], np.cumsum(word[coded.indices.to_numpy()], dtype=np.float64)])
     row, start, size = passages(counts, PASSAGE // 2)
     logit = (total[start + size] - total[start]) / size + bias
