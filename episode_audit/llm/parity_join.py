@@ -368,6 +368,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     tiles = tiles_of(members)
     sets = cut_lineage(candidate_sets(texts, facts, tiles))
     roots = connected(forests(sets, tiles, tile_pairs(members, tiles)))
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     nodes = facts.where("n > 0").groupBy("fp", "fp2", "n").agg(F.min("id").alias("low"))
     nodes = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "fp2", "n", "low", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("fp2")).alias("alone"))
     least = nodes.groupBy("root", "alone").agg(F.min("low").alias("component_id"))

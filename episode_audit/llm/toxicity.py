@@ -258,3 +258,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, text_col: str
     source = docs.select(*map(quoted, keep), quoted(text_col).cast("string").alias(text))
     schema = source.drop(text).schema.add(name, "double")
     return source.mapInArrow(run, schema)
+
+
+def reject(docs: DataFrame, model: tuple[np.ndarray, float] | None, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of docs that score below `limit`, with their columns."""
+    scored = score(docs, model, text_col)
+    return scored.where(quoted(scored.columns[-1]) < limit).select(*map(quoted, docs.columns))
