@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, Query, table
@@ -10,6 +10,7 @@ from .exact_dedup import mark_copies
 from .mixing import MOST, SEED, SHARE, WEIGHTS, plan_mix
 from .parity_join import components
 from .pieces import encode
+from .pii import KINDS, find_personal_data
 from .toxicity import fit, score
 
 QUERIES: dict[str, Query] = {}
@@ -121,3 +122,29 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle set size and component of every document."""
     return components(table(spark, sf_dir, "documents"))
+
+
+@query("op8_pii")
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every whole text; the counts and base_sha256 are of the base spans."""
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+
+    def written(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    # by kind as listed, then start; a base span before an added one that starts with it
+    order = F.array(*map(F.lit, KINDS))
+    keyed = F.transform(
+        F.concat("base", "added"),
+        lambda s: F.struct(F.array_position(order, s["kind"]).alias("nth"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")),
+    )
+    return found.select(
+        "doc_id",
+        *map(count, KINDS),
+        F.sha2(written(F.col("base")), 256).alias("base_sha256"),
+        written(F.array_sort(keyed)).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )
