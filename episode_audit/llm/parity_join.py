@@ -24,10 +24,12 @@ Join. Equal sets share a fingerprint and are one node from the start. One
 shuffle by part word finds words with two nodes or more; words that the table
 shows as frequent are dealt out by node as well, so none of them meets in one
 task. Nodes are packed into tiles of about `TILE` that share words, and only
-tiles that share a word meet: a tile pair is a bounded task, which drops pairs
-whose one-bit sketches differ too much, verifies the rest on the sets
-themselves, and returns a spanning forest of the links it found, never the
-pairs. Components come from the forests by alternating star contraction.
+tiles that share a word meet, each tile pair a bounded group. First the one-bit
+sketches meet (two to eight bits an element, against 64 of the hashes) and nodes
+without a partner within the Hamming bound drop out; then the sets of the rest
+meet, links are verified exactly, and a spanning forest of them is returned,
+never the pairs. Components come from the forests by alternating star
+contraction.
 
 Nodes are 64-bit fingerprints, checked by a second one on grouping.
 
@@ -57,7 +59,6 @@ from .toxicity import ragged
 SHINGLE = 5
 SHARE = (3, 4)  # Jaccard at least 3/4
 TABLE_BITS, SLICES = 21, 64
-SKETCH_BITS = 1024
 TILE = 256
 FREQUENT = 20_000  # rows of a part word above which it is dealt out by node as well
 BROADCAST_ROWS = 1_000_000  # ids sent to every task at most; beyond it a shuffled join
@@ -260,72 +261,111 @@ def tile_pairs(members: DataFrame, tiles: DataFrame) -> DataFrame:
     return across.unionByName(within).distinct()
 
 
-def candidate_sets(texts: DataFrame, facts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """fp, hashes of every node in a tile, from one of its documents."""
-    chosen = facts.where("n > 0").join(nodes.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("id"))
-    chosen = cut_lineage(chosen.select("id", F.col("fp").alias("want")))
+def chosen_documents(facts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, want: one document for each node."""
+    chosen = facts.where("n > 0").join(nodes.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("id"))
+    return cut_lineage(chosen.select("id", F.col("fp").alias("want")))
+
+
+def of_documents(texts: DataFrame, chosen: DataFrame, what, schema: str) -> DataFrame:
+    """fp and the columns that `what` makes of a set, for the chosen documents."""
     few = chosen.count() <= BROADCAST_ROWS
     picked = texts.join(F.broadcast(chosen) if few else chosen, texts["id"].eqNullSafe(chosen["id"])).select("text", "want")
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, counts = shingle_sets(batch.column(0).cast(pa.string()))
             fp, _ = fingerprints(hashes, counts)
-            right = fp.view(np.int64) == batch.column(1).to_numpy(zero_copy_only=False)
+            rows = np.flatnonzero(fp.view(np.int64) == batch.column(1).to_numpy(zero_copy_only=False))
             ends = np.cumsum(counts)
-            rows = np.flatnonzero(right)
-            sets = [hashes[ends[k] - counts[k] : ends[k]].tobytes() for k in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(fp[rows].view(np.int64)), pa.array(sets, pa.binary())], names=["fp", "hashes"])
+            made = [what(hashes[ends[k] - counts[k] : ends[k]]) for k in rows]
+            columns = [pa.array(fp[rows].view(np.int64)), pa.array(counts[rows], pa.int64()), pa.array(made, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return picked.mapInArrow(run, schema)
+
+
+def sketch_bits(band: int) -> int:
+    """Bits of the one-bit sketches of a band: two to eight for each element."""
+    return 2 * 4 ** (band + 1)
+
+
+def one_bit_sketch(hashes: np.ndarray) -> bytes:
+    """Each element flips one bit. Folding a sketch in halves by XOR gives the shorter sketch of the same set."""
+    bits = sketch_bits(int(band_of(np.array([len(hashes)]))[0]))
+    odd = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def with_near_partner(sizes: np.ndarray, sketches: list[bytes]) -> np.ndarray:
+    """Which sets have another whose size and sketch do not rule a link out."""
+    bands = band_of(sizes)
+    packed = {b: np.stack([np.frombuffer(sketches[k], dtype=np.uint64) for k in np.flatnonzero(bands == b)]) for b in np.unique(bands)}
+    found = np.zeros(len(sizes), dtype=bool)
+    for b, own in packed.items():
+        here = np.flatnonzero(bands == b)
+        for c in (b, b + 1):
+            if c not in packed:
+                continue
+            there = np.flatnonzero(bands == c)
+            other = packed[c]
+            if c > b:  # folded to the shorter sketch
+                other = np.bitwise_xor.reduce(other.reshape(len(other), -1, own.shape[1]), axis=1)
+            step = max(1, 4_000_000 // max(1, other.size))
+            for k in range(0, len(here), step):
+                part = here[k : k + step]
+                apart = np.bitwise_count(own[k : k + step, None, :] ^ other[None, :, :]).sum(axis=2, dtype=np.int64)
+                total = sizes[part][:, None] + sizes[there][None, :]
+                low = np.minimum(sizes[part][:, None], sizes[there][None, :])
+                near = (7 * apart <= total) & (3 * (total - low) <= 4 * low) & (part[:, None] != there[None, :])
+                found[part[near.any(axis=1)]] = True
+                found[there[near.any(axis=0)]] = True
+    return found
+
+
+def survivors(sketches: DataFrame, tiles: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pair, fp: the nodes of each tile pair that have a possible partner in it."""
+    ends = pairs.select(F.xxhash64("a", "b").alias("pair"), F.explode(F.array_distinct(F.array("a", "b"))).alias("tile"))
+    members = ends.join(tiles, "tile").select("pair", "fp").join(sketches, "fp")
 
-    return picked.mapInArrow(run, "fp long, hashes binary")
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("fp")
+        return rows.loc[with_near_partner(rows["n"].to_numpy(), rows["sketch"].tolist()), ["pair", "fp"]]
+
+    return cut_lineage(members.groupBy("pair").applyInPandas(run, "pair long, fp long"))
 
 
 def links_within(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set the smallest index that its links reach inside this list."""
+    """For each set the smallest index that its links reach inside this list; intersections are counted exactly."""
     size = np.array([len(s) for s in sets], dtype=np.int64)
     n = len(sets)
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(n), size)
-    # one-bit sketches: their Hamming distance is at most the symmetric difference
-    bits = np.zeros((n, SKETCH_BITS), dtype=np.uint8)
-    np.add.at(bits.reshape(-1), owner * SKETCH_BITS + (flat % np.uint64(SKETCH_BITS)).astype(np.int64), 1)
-    packed = np.packbits(bits & 1, axis=1).view(np.uint64)
-    near = np.zeros((n, n), dtype=bool)
-    for k in range(0, n, 64):
-        apart = np.bitwise_count(packed[k : k + 64, None, :] ^ packed[None, :, :]).sum(axis=2, dtype=np.int64)
-        near[k : k + 64] = 7 * apart <= size[k : k + 64, None] + size[None, :]
-    np.fill_diagonal(near, False)
-    label = np.arange(n)
-    use = near.any(axis=1)
-    if not use.any():
-        return label
-    # exact intersections of what is left, by shingles that two sets share
-    kept = use[owner]
-    uniq, column, many = np.unique(flat[kept], return_inverse=True, return_counts=True)
+    uniq, column, many = np.unique(flat, return_inverse=True, return_counts=True)
     both = many[column] > 1
-    column = (np.cumsum(many > 1) - 1)[column[both]]
-    row = owner[kept][both]
-    common = np.zeros((n, n), dtype=np.float32)
+    column, row = (np.cumsum(many > 1) - 1)[column[both]], owner[both]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    common = np.zeros((n, n), dtype=np.int64)
     width = int((many > 1).sum())
-    for k in range(0, width, 8192):
-        there = (column >= k) & (column < k + 8192)
-        block = np.zeros((n, min(8192, width - k)), dtype=np.float32)
-        block[row[there], column[there] - k] = 1
-        common += block @ block.T
-    linked = near & (7 * common.astype(np.int64) >= 3 * (size[:, None] + size[None, :]))
+    for k in range(0, width, 4096):
+        a, b = np.searchsorted(column, [k, k + 4096])
+        block = np.zeros((n, min(4096, width - k)), dtype=np.float32)
+        block[row[a:b], column[a:b] - k] = 1
+        common += (block @ block.T).astype(np.int64)
+    linked = 7 * common >= 3 * (size[:, None] + size[None, :])
+    label = np.arange(n)
     while True:
-        lowest = np.where(linked, label[None, :], n).min(axis=1)
-        lower = np.minimum(label, lowest)
+        lower = np.minimum(label, np.where(linked, label[None, :], n).min(axis=1))
         lower = lower[lower]
         if (lower == label).all():
             return label
         label = lower
 
 
-def forests(sets: DataFrame, tiles: DataFrame, pairs: DataFrame) -> DataFrame:
+def forests(sets: DataFrame, near: DataFrame) -> DataFrame:
     """a, b: spanning forests of the links of every tile pair."""
-    ends = pairs.select(F.xxhash64("a", "b").alias("pair"), F.explode(F.array_distinct(F.array("a", "b"))).alias("tile"))
-    members = ends.join(tiles, "tile").select("pair", "fp").join(sets, "fp")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("fp").sort_values("fp")
@@ -334,7 +374,7 @@ def forests(sets: DataFrame, tiles: DataFrame, pairs: DataFrame) -> DataFrame:
         moved = label != np.arange(len(fp))
         return pd.DataFrame({"a": fp[moved], "b": fp[label[moved]]})
 
-    return members.groupBy("pair").applyInPandas(run, "a long, b long")
+    return near.join(sets, "fp").groupBy("pair").applyInPandas(run, "a long, b long")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -366,8 +406,12 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     members = distinct_meetings(shared_words(emitted_words(texts, rarity_levels(found))), "fp")
     members = cut_lineage(members)
     tiles = tiles_of(members)
-    sets = cut_lineage(candidate_sets(texts, facts, tiles))
-    roots = connected(forests(sets, tiles, tile_pairs(members, tiles)))
+    chosen = chosen_documents(facts, tiles)
+    sketches = cut_lineage(of_documents(texts, chosen, one_bit_sketch, "fp long, n long, sketch binary"))
+    near = survivors(sketches, tiles, tile_pairs(members, tiles))
+    wanted = cut_lineage(chosen.join(near.select(F.col("fp").alias("want")).distinct(), "want", "left_semi").select("id", "want"))
+    sets = of_documents(texts, wanted, np.ndarray.tobytes, "fp long, n long, hashes binary")
+    roots = connected(forests(sets.select("fp", "hashes"), near))
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     nodes = facts.where("n > 0").groupBy("fp", "fp2", "n").agg(F.min("id").alias("low"))
     nodes = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "fp2", "n", "low", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("fp2")).alias("alone"))
