@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_folder
+from . import html_text, warc
 from .common import LOWER, UPPER, Query, table
 from .exact_dedup import mark_copies
 from .mixing import MOST, SEED, SHARE, WEIGHTS, plan_mix
@@ -148,3 +152,39 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         written(F.array_sort(keyed)).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
     )
+
+
+@query("op10_html_text")
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    found = html_text.extract(pages, html_text.fit(pages), keep=["page_id", "url"])
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+
+
+BASE32 = """
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        ((('0x' || substr(h, (i // 4)::int * 5 + 1, 5))::bigint >> (15 - 5 * (i % 4))) & 31)::int + 1, 1)), '')
+"""
+
+
+@query(
+    "op5_warc",
+    f"""
+    with p as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as h from pages),
+    q as (select *, min(page_id) over (partition by h) as first from p)
+    select page_id, octet_length(encode(body))::bigint as payload_bytes, {BASE32} as payload_digest,
+           case when page_id = first then 'response' else 'revisit' end as record_type,
+           case when page_id = first then null else first end as refers_to
+    from q
+    """,
+)
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back from them."""
+    pages = table(spark, sf_dir, "pages")
+    folder = f"{checkpoint_folder(spark)}/warc-{uuid.uuid4().hex}"
+    if not warc.write_archives(pages, folder):
+        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    found = warc.read_archives(spark, folder, payloads=False)
+    fault = F.when(F.col("problem").isNotNull(), F.raise_error(F.concat(F.lit("broken record: "), "problem")).cast("string"))
+    return found.select("page_id", "payload_bytes", "payload_digest", F.coalesce(fault, "record_type").alias("record_type"), "refers_to")
