@@ -12,6 +12,7 @@ from . import html_text, warc
 from .common import LOWER, UPPER, Query, table
 from .exact_dedup import mark_copies
 from .mixing import MOST, SEED, SHARE, WEIGHTS, plan_mix
+from .multi_index import nearest
 from .parity_join import components
 from .pieces import encode
 from .pii import KINDS, find_personal_data
@@ -188,3 +189,9 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.read_archives(spark, folder, payloads=False)
     fault = F.when(F.col("problem").isNotNull(), F.raise_error(F.concat(F.lit("broken record: "), "problem")).cast("string"))
     return found.select("page_id", "payload_bytes", "payload_digest", F.coalesce(fault, "record_type").alias("record_type"), "refers_to")
+
+
+@query("op3_multi_index")
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest found for every vector whose id is divisible by 50."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
