@@ -11,14 +11,16 @@ so the number of differing parts, like the Hamming distance of the one-bit
 sketches used below, is at most |A xor B|, and linked sets of size a have at
 most D = a // 3 of them (size a against its largest possible partner, 4a/3).
 
-Pigeonhole. Of any D + 1 parts of a set that hold something, one must be equal
-in a linked partner. Each document therefore emits its D + 1 rarest part words
-(by a table of counts over all documents, hashed into 2^`TABLE_BITS` cells: a
+Pigeonhole. Of any D + k parts of a set that hold something, k must be equal in
+a linked partner, and when both take their rarest, k are among both. Each
+document therefore emits its D + k rarest part words, k = D // 4 + 1 (by a table of counts over all documents, hashed into 2^`TABLE_BITS` cells: a
 broadcast of that many bytes whatever the input's size), so words of passages
 that many documents share stay out wherever a text has others. K depends on a
 size band (powers of four); a set whose partners may lie in the next band emits
-for both. A set whose parts collide so much that fewer than D + 1 hold anything
+for both. A set whose parts collide so much that fewer than D + k hold anything
 adds one word for its band; only two such sets can miss each other otherwise.
+A node that does not share k of its words with any others at all drops out: in
+large corpora most documents share a few shingles with some other by chance.
 
 Join. Equal sets share a fingerprint and are one node from the start. One
 shuffle by part word finds words with two nodes or more; words that the table
@@ -105,6 +107,11 @@ def most_differing(size: np.ndarray) -> np.ndarray:
     return size // 3
 
 
+def asked(size: np.ndarray) -> np.ndarray:
+    """How many part words a linked pair has to share among those it emits."""
+    return most_differing(size) // 4 + 1
+
+
 def band_of(size: np.ndarray) -> np.ndarray:
     """Size band: 4^3 and below is 2, then one for each power of four."""
     out = np.full(len(size), 2)
@@ -141,7 +148,7 @@ def part_words(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def rarest_words(hashes, counts, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, word and level of each row's D + 1 rarest part words in each of its bands."""
+    """Row, word and level of each row's D + asked rarest part words in each of its bands; level 255 marks an odd word."""
     row, band, word = part_words(hashes, counts)
     rarity = level[(word >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
     order = np.lexsort((word, rarity, band, row))
@@ -149,9 +156,9 @@ def rarest_words(hashes, counts, level: np.ndarray) -> tuple[np.ndarray, np.ndar
     group = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (band[1:] != band[:-1])])) if len(row) else np.zeros(0, np.int64)
     size = np.diff(np.concatenate([group, [len(row)]]))
     nth = np.arange(len(row)) - np.repeat(group, size)
-    wanted = most_differing(counts[row]) + 1
-    keep = nth < wanted
-    short = size < most_differing(counts[row[group]]) + 1
+    wanted = most_differing(counts) + asked(counts)
+    keep = nth < wanted[row]
+    short = size < wanted[row[group]]
     odd = mixed(np.full(short.sum(), 77, dtype=np.uint64), band[group[short]])
     return (
         np.concatenate([row[keep], row[group[short]]]),
@@ -208,7 +215,7 @@ def rarity_levels(found: DataFrame) -> np.ndarray:
 
 
 def emitted_words(texts: DataFrame, levels: np.ndarray) -> DataFrame:
-    """word, fp, often: the rarest part words of every document that has a set."""
+    """word, fp, need, often: the rarest part words of every document that has a set, and how many must be shared."""
     shared = texts.sparkSession.sparkContext.broadcast(levels)
     often = int(min(4 * np.log2(FREQUENT), 254))
 
@@ -218,20 +225,31 @@ def emitted_words(texts: DataFrame, levels: np.ndarray) -> DataFrame:
             fp, _ = fingerprints(hashes, counts)
             row, word, rarity = rarest_words(hashes, counts, shared.value)
             # a cell's count is an upper bound; one that only looks frequent costs a few rows more
-            columns = [pa.array(word.view(np.int64)), pa.array(fp[row].view(np.int64)), pa.array(rarity >= often)]
-            yield pa.RecordBatch.from_arrays(columns, names=["word", "fp", "often"])
+            need = np.where(rarity == 255, 0, asked(counts)[row]).astype(np.int32)
+            columns = [pa.array(word.view(np.int64)), pa.array(fp[row].view(np.int64)), pa.array(need), pa.array(rarity >= often)]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "fp", "need", "often"])
 
-    return texts.select("text").mapInArrow(run, "word long, fp long, often boolean")
+    return texts.select("text").mapInArrow(run, "word long, fp long, need int, often boolean")
 
 
 def shared_words(words: DataFrame) -> DataFrame:
-    """Distinct (word, fp) of the words that two nodes or more may share."""
+    """Distinct (word, fp) of the words that two nodes or more may share, for nodes that share enough."""
     salt = F.when(F.col("often"), F.pmod(F.xxhash64("fp"), F.lit(997))).otherwise(F.lit(0)).cast("int")
-    salted = words.select("word", "fp", "often", salt.alias("salt"))
+    salted = words.select("word", "fp", "need", "often", salt.alias("salt"))
     group = Window.partitionBy("word", "salt")
     several = salted.withColumn("low", F.min("fp").over(group)).withColumn("high", F.max("fp").over(group))
-    several = several.where("often or low <> high").select("word", "fp").distinct()
-    return cut_lineage(several)
+    several = several.where("often or low <> high").groupBy("word", "fp").agg(F.min("need").alias("need"))
+    several = cut_lineage(sharing_enough(several))
+    # words whose other nodes have just dropped out
+    alive = several.groupBy("word").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("word")
+    return cut_lineage(sharing_enough(several.join(alive, "word", "left_semi")).select("word", "fp"))
+
+
+def sharing_enough(words: DataFrame) -> DataFrame:
+    """The rows of nodes that keep at least as many words as a linked pair shares; a node has few rows."""
+    own = Window.partitionBy("fp")
+    kept = words.withColumn("n", F.count(F.lit(1)).over(own)).withColumn("least", F.min("need").over(own))
+    return kept.where("n >= least").select("word", "fp", "need")
 
 
 def distinct_meetings(members: DataFrame, who: str) -> DataFrame:
@@ -241,12 +259,15 @@ def distinct_meetings(members: DataFrame, who: str) -> DataFrame:
     return members.join(one, "word", "left_semi")
 
 
-def tiles_of(members: DataFrame) -> DataFrame:
-    """fp, tile: nodes that share words lie together, about TILE in a tile."""
-    low = members.groupBy("word").agg(F.min("fp").alias("low"))
-    label = members.join(low, "word").groupBy("fp").agg(F.min("low").alias("label"))
+def tiles_of(members: DataFrame, size_of_tile: int = TILE) -> DataFrame:
+    """fp, tile: nodes lie by the most crowded word they have, about `size_of_tile` in a tile.
+
+    A crowd's nodes so fill whole tiles, and few tiles share a word.
+    """
+    crowd = members.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    label = members.join(crowd, "word").groupBy("fp").agg(F.max(F.struct("n", "word")).alias("label"))
     size = label.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    salt = F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / TILE))
+    salt = F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / size_of_tile))
     return cut_lineage(label.join(size, "label").select("fp", F.xxhash64("label", salt).alias("tile")))
 
 
