@@ -11,6 +11,7 @@ from ..session import checkpoint_folder
 from . import html_text, warc
 from .common import LOWER, UPPER, Query, table
 from .exact_dedup import mark_copies
+from .line_dedup import removed_lines
 from .mixing import MOST, SEED, SHARE, WEIGHTS, plan_mix
 from .multi_index import nearest
 from .parity_join import components
@@ -195,3 +196,38 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest found for every vector whose id is divisible by 50."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+LINES_SQL = rf"""
+    with l as (
+        select doc_id, unnest(range(0, len(s))) as place, unnest(s) as line
+        from (select doc_id, string_split({LOWERED}, chr(10)) as s from documents)
+    ),
+    w as (select doc_id, place, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as words from l),
+    nodes as (select line, any_value(words) as words, min((doc_id, place)) as first from w where len(words) > 0 group by line),
+    sets as (
+        select first, list_distinct(list_transform(range(0, greatest(len(words) - 5, 0) + 1), lambda i: array_to_string(words[i + 1:i + 5], ' '))) as tokens
+        from nodes
+    ),
+    t as (select first, len(tokens) as n, unnest(tokens) as token from sets),
+    common as (
+        select a.first as first, b.first as earlier, any_value(a.n) as n, any_value(b.n) as m, count(*) as shared
+        from t a join t b on a.token = b.token and b.first < a.first group by a.first, b.first
+    ),
+    matched as (select distinct first from common where 7 * shared >= 3 * (n + m)),
+    marked as (
+        select w.doc_id, w.place,
+               len(w.words) > 0 and ((w.doc_id, w.place) is distinct from nodes.first or matched.first is not null) as goes
+        from w left join nodes on w.line = nodes.line left join matched on nodes.first = matched.first
+    )
+    select doc_id, count(*) as n_lines, count(*) filter (where goes) as n_removed,
+           coalesce(string_agg(place::varchar, ',' order by place) filter (where goes), '') as removed
+    from marked group by doc_id
+"""
+
+
+@query("op2_line_dedup", LINES_SQL)
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document how many lines it has and which of them repeat an earlier line or nearly so."""
+    found = removed_lines(table(spark, sf_dir, "documents"))
+    return found.withColumn("removed", F.array_join(F.transform("removed", lambda x: x.cast("string")), ","))
