@@ -16,7 +16,7 @@ CHECK_IDS = {
     "attestation.v1": 6,
     "task_compliance.v1": 7,
 }
-RESULT_CODES = {"pass": 0, "fail": 1, "inconclusive": 2}
+RESULT_CODES = {"fail": 0, "pass": 1, "inconclusive": 2}
 
 # --- Fixed values: default check settings ---------------------------------------
 CHECK_SETTINGS = {

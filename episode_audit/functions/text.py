@@ -57,12 +57,18 @@ def phrase_hits(text: Column, phrases: Sequence[str]) -> Column:
 
 
 def amount_text(units: Column, decimals: int) -> Column:
-    """Integer units as decimal text without trailing zeros."""
-    scale = 10**decimals
-    value = units.cast("decimal(38,0)")
-    integer = F.floor(value / F.lit(scale).cast("decimal(38,0)")).cast("string")
-    rest = F.lpad(F.pmod(value, F.lit(scale).cast("decimal(38,0)")).cast("string"), decimals, "0")
-    return F.regexp_replace(F.concat(integer, F.lit("."), rest), r"\.?0+$", "")
+    """Integer units as decimal text without trailing zeros.
+
+    The digits are cut as text: decimal division keeps too few places for 18 decimals.
+    """
+    digits = units.cast("decimal(38,0)").cast("string")
+    sign = F.when(F.startswith(digits, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+    body = F.regexp_replace(digits, "^-", "")
+    if not decimals:
+        return F.concat(sign, body)
+    padded = F.lpad(body, F.greatest(F.length(body), F.lit(decimals + 1)), F.lit("0"))
+    integer, rest = F.substring(padded, F.lit(1), F.length(padded) - decimals), F.right(padded, F.lit(decimals))
+    return F.concat(sign, F.regexp_replace(F.concat(integer, F.lit("."), rest), r"\.?0+$", ""))
 
 
 def short_hash(hex_column: Column, shown: int = 8) -> Column:

@@ -13,10 +13,17 @@ from .scale import chunked_series
 
 
 def fee_split(amount: Column) -> tuple[Column, Column]:
-    """Protocol fee (rounded down) and supplier share; they add up exactly."""
+    """Protocol fee (rounded down) and supplier share; they add up exactly.
+
+    For amounts from 0 to 10^38 - 1. The last four digits are split off as text,
+    so that no product or quotient needs more than 38 digits.
+    """
     whole = amount.cast("decimal(38,0)")
-    fee = F.floor(whole * F.lit(fixed.PROTOCOL_FEE_BPS) / F.lit(10000))
-    return fee.cast("decimal(38,0)"), (whole - fee.cast("decimal(38,0)")).cast("decimal(38,0)")
+    digits = F.lpad(whole.cast("string"), 38, "0")
+    high, low = F.substring(digits, 1, 34).cast("decimal(34,0)"), F.substring(digits, 35, 4).cast("int")
+    part = F.floor(low * F.lit(fixed.PROTOCOL_FEE_BPS) / F.lit(10000)).cast("decimal(4,0)")
+    fee = ((high * F.lit(fixed.PROTOCOL_FEE_BPS).cast("decimal(4,0)")).cast("decimal(38,0)") + part).cast("decimal(38,0)")
+    return fee, (whole - fee).cast("decimal(38,0)")
 
 
 def balances(credited: DataFrame, withdrawn: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -53,16 +53,17 @@ def _blocks(entries: DataFrame, group: Sequence[str], bits: int) -> DataFrame:
     return blocks.select(*group, "_block", F.when(dense & distinct, hashes).alias("hashes"))
 
 
-def fold(hashes: Column, bits: int = BLOCK_BITS) -> Column:
-    """Root of up to 2^bits hashes held in one array."""
-    return F.get(F.aggregate(F.sequence(F.lit(1), F.lit(bits)), hashes, lambda a, _: _pairs(a)), 0)
+def fold(hashes: Column) -> Column:
+    """Root of the hashes held in one array, however many; as many rounds as the array needs."""
+    rounds = F.greatest(F.length(F.bin(F.greatest(F.size(hashes) - 1, F.lit(1)))), F.lit(1))
+    return F.get(F.aggregate(F.sequence(F.lit(1), rounds), hashes, lambda a, _: _pairs(a)), 0)
 
 
 def root(leaves: DataFrame, entries: int, group: Sequence[str] = (), bits: int = BLOCK_BITS) -> DataFrame:
     """Tree root per group (column `root`); `entries` bounds the largest group."""
     level = leaves.select(*group, F.col("idx"), F.col("leaf"))
     for _ in range(rounds_for(entries, bits)):
-        level = _blocks(level, group, bits).select(*group, F.col("_block").alias("idx"), fold(F.col("hashes"), bits).alias("leaf"))
+        level = _blocks(level, group, bits).select(*group, F.col("_block").alias("idx"), fold(F.col("hashes")).alias("leaf"))
     return level.select(*group, F.col("leaf").alias("root"))
 
 
@@ -170,7 +171,7 @@ def inclusion_proofs(leaves: DataFrame, entries: int, group: Sequence[str] = (),
     inside = leveled.select(*group, "_block", F.explode(per_leaf).alias("x")).select(*group, "_block", "x.*")
     if rounds_for(entries, bits) == 1:
         return inside.select(*group, "idx", "leaf", F.col("lower").alias("proof"))
-    tops = blocks.select(*group, F.col("_block").alias("idx"), fold(F.col("hashes"), bits).alias("leaf"))
+    tops = blocks.select(*group, F.col("_block").alias("idx"), fold(F.col("hashes")).alias("leaf"))
     above = inclusion_proofs(tops, -(-entries // 2**bits), group, bits).select(
         *group, F.col("idx").alias("_block"), F.col("proof").alias("upper")
     )

@@ -148,9 +148,8 @@ def latest_per_key(
     return df.groupBy(*key).agg(ranked.alias("_row")).select(*key, "_row.*")
 
 
-HOT_KEYS = 1000  # at most this many keys can hold more than 1/1000 of the rows
+HOT_SHARE = 1000  # fewer keys than this can hold more than 1/HOT_SHARE of the rows each
 HOT_ROWS = 1_000_000
-SALTS = 64
 
 
 def join_per_key(
@@ -164,17 +163,15 @@ def join_per_key(
 ) -> DataFrame:
     """Join rows to a one-row-per-key table whose `count` column gives key sizes.
 
-    Keys above `hot_rows` are salted. Only the largest HOT_KEYS of them are
-    marked, so the broadcast list has a fixed bound; any key left out then
-    holds less than 1/HOT_KEYS of the rows and needs no salting.
+    Keys above `hot_rows` that hold more than 1/HOT_SHARE of all rows are salted,
+    one salt for every `hot_rows` rows. Their number is below HOT_SHARE by
+    arithmetic, which bounds the broadcast list; every other key is small
+    beside the table.
     """
     key = list(key)
-    hot = (
-        per_key.filter(F.col(count) > hot_rows)
-        .orderBy(F.col(count).desc())
-        .limit(HOT_KEYS)
-        .select(*key, F.lit(SALTS).alias("_salts"))
-    )
+    total = per_key.agg(F.sum(count).alias("_total")).scalar()
+    floor = F.greatest(F.lit(hot_rows).cast("double"), total / HOT_SHARE)
+    hot = per_key.filter(F.col(count) > floor).select(*key, F.ceil(F.col(count) / hot_rows).cast("int").alias("_salts"))
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     left = (
         facts.join(F.broadcast(hot), key, "left")

@@ -232,7 +232,7 @@ def metric_counts(spark, sf_dir):
     "claim_codes",
     "WITH " + P.CLAIMS_SQL + """
 SELECT CAST(substr("check", 7) AS BIGINT) AS check_id,
-       CAST(CASE result WHEN 'pass' THEN 0 WHEN 'fail' THEN 1 ELSE 2 END AS BIGINT) AS result_code,
+       CAST(CASE result WHEN 'fail' THEN 0 WHEN 'pass' THEN 1 ELSE 2 END AS BIGINT) AS result_code,
        count(*) AS claims, count(DISTINCT subject) AS subjects
 FROM claims GROUP BY 1, 2""",
 )

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, LongType, MapType, StructField, StructType
 
 from .. import fixed_values as fixed
 from ..functions import hashing as H
@@ -66,14 +67,33 @@ def manifests(episodes: DataFrame, context: IntakeContext) -> DataFrame:
     return rows.withColumn("manifest", manifest)
 
 
-def manifest_hash(manifest: Column) -> Column:
-    """Digest of the manifest without its signature, keys in byte order."""
-    names = sorted(
-        "v kind org_id dataset_id source layout embodiment rate_hz duration_ms captured_at channels files range payload_hash "
-        "consent_commitment terms_hash scope_bits task outcome sim".split()
-    )
-    text = F.to_json(F.struct(*(manifest.getField(n).alias(n) for n in names)), {"ignoreNullFields": "false"})
-    return H.digest(H.utf8(text))
+def canonical(value: Column, kind: DataType) -> Column:
+    """The value with struct fields and map keys in byte order at every depth."""
+    if isinstance(kind, StructType):
+        names = sorted(kind.names, key=lambda n: n.encode())
+        ordered = F.struct(*(canonical(value.getField(n), kind[n].dataType).alias(n) for n in names))
+        return F.when(value.isNotNull(), ordered)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: canonical(x, kind.elementType))
+    if isinstance(kind, MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(e["key"].alias("key"), canonical(e["value"], kind.valueType).alias("value")))
+        # entries are ordered by their keys alone, so values of any kind may follow
+        keys = F.array_sort(F.map_keys(value))
+        return F.map_from_entries(F.transform(keys, lambda k: F.get(F.filter(entries, lambda e: e["key"] == k), 0)))
+    return value
+
+
+def manifest_hash(manifest: Column, kind: StructType) -> Column:
+    """Digest of the manifest without its signature: keys in byte order at every depth, whole numbers without a fraction."""
+    unsigned = StructType([f for f in kind if f.name != "signature"])
+    whole = StructType([StructField("rate_hz", LongType()) if f.name == "rate_hz" else f for f in unsigned])
+
+    def text(fields: StructType) -> Column:
+        picked = F.struct(*(manifest.getField(f.name).cast(f.dataType).alias(f.name) for f in fields))
+        return F.to_json(canonical(picked, fields), {"ignoreNullFields": "false"})
+
+    rate = manifest.getField("rate_hz").cast("double")
+    return H.digest(H.utf8(F.when((rate == F.floor(rate)) & (F.abs(rate) < 2**53), text(whole)).otherwise(text(unsigned))))
 
 
 def episode_record(submitted_at: int) -> Column:
@@ -109,22 +129,42 @@ def ingest(
 ) -> tuple[DataFrame, DataFrame]:
     """(new log rows, errors) for every episode below `root`.
 
-    log: idx, org_id, manifest_hash of what is already logged. consents:
-    dataset, episode_index, record, salt. A salt that was used before, an invalid manifest
-    and a manifest logged before are errors of their own episode.
+    log: idx, org_id, manifest_hash of what is already logged, and salt where salts
+    were kept. consents: dataset, episode_index, record, salt. Every episode is
+    either appended or has an error of its own: no consent row, several of them,
+    a salt that the organisation used before or that an earlier episode of this
+    batch uses, an invalid manifest, one logged before, or one that does not fit
+    the record.
     """
     episodes, unreadable = read_dataset(spark, root)
-    keyed = episodes.join(
-        consents.select(
-            "dataset", "episode_index", H.consent_commitment(F.col("record"), F.col("salt")).alias("consent_commitment"),
-            H.consent_key(F.col("record")).alias("consent_key"),
-        ),
-        ["dataset", "episode_index"],
+    place = F.struct("dataset", "episode_index")
+    used = consents.groupBy("salt").agg(F.min(place).alias("_salt_first"))
+    if "salt" in log.columns:
+        old = log.filter(F.col("org_id") == context.org_id).select("salt").distinct().withColumn("_salt_logged", F.lit(True))
+        used = used.join(old, "salt", "left")
+    else:
+        used = used.withColumn("_salt_logged", F.lit(None).cast("boolean"))
+    once = consents.groupBy("dataset", "episode_index").agg(
+        F.count(F.lit(1)).alias("_consents"), F.first("record").alias("record"), F.first("salt").alias("salt")
+    )
+    known = once.join(used, "salt", "left").select(
+        "dataset", "episode_index", "_consents", H.consent_commitment(F.col("record"), F.col("salt")).alias("consent_commitment"),
+        H.consent_key(F.col("record")).alias("consent_key"),
+        (F.coalesce("_salt_logged", F.lit(False)) | (F.col("_salt_first") < place)).alias("_reused"),
     )
-    built = manifests(keyed, context)
+    with_consent = episodes.join(known, ["dataset", "episode_index"], "left")
+    fault = (
+        F.when(F.col("_consents").isNull() | F.col("consent_commitment").isNull(), "no_consent")
+        .when(F.col("_consents") > 1, "several_consents")
+        .when(F.col("_reused"), "salt_reused")
+    )
+    refused = with_consent.filter(fault.isNotNull()).select(
+        "dataset", "episode_index", fault.alias("code"), F.lit("the episode's consent cannot be used").alias("message")
+    )
+    built = manifests(with_consent.filter(fault.isNull()).drop("_consents", "_reused"), context)
     checked = cut_lineage(
         built.select(
-            "dataset", "episode_index", "manifest", "consent_key", manifest_hash(F.col("manifest")).alias("manifest_hash"),
+            "dataset", "episode_index", "manifest", "consent_key", manifest_hash(F.col("manifest"), built.schema["manifest"].dataType).alias("manifest_hash"),
             validate.manifest_issues(F.col("manifest"), F.col("payload_root")).alias("issues"),
         )
     )
@@ -142,7 +182,15 @@ def ingest(
         F.coalesce(F.concat(F.lit("already logged at "), F.col("logged_at").cast("string")), F.lit("same manifest twice in this batch")).alias("message"),
     )
     size = log.count()
-    fresh = judged.filter(~conflict).withColumn("record", episode_record(context.submitted_at))
+    encoded = cut_lineage(
+        judged.filter(~conflict).withColumn("record", episode_record(context.submitted_at)).select(
+            "dataset", "episode_index", "manifest_hash", "consent_key", "record"
+        )
+    )
+    unfit = encoded.filter(F.col("record").isNull()).select(
+        "dataset", "episode_index", F.lit("not_encodable").alias("code"), F.lit("a value does not fit the record").alias("message")
+    )
+    fresh = encoded.filter(F.col("record").isNotNull())
     numbered = positions(
         fresh.select("dataset", "episode_index", "manifest_hash", "consent_key", "record"), [], ["episode_index", "dataset"],
         F.shiftright("episode_index", 12), name="at",
@@ -151,4 +199,4 @@ def ingest(
         (F.col("at") + size).alias("idx"), H.leaf_hash(F.col("record")).alias("leaf"), F.lit(context.org_id).alias("org_id"),
         "dataset", "episode_index", "manifest_hash", "consent_key", "record", (F.col("at") + size + 1).alias("log_size_after"),
     )
-    return appended, unreadable.unionByName(invalid).unionByName(conflicts)
+    return appended, unreadable.unionByName(refused).unionByName(invalid).unionByName(conflicts).unionByName(unfit)

@@ -128,7 +128,7 @@ FROM claims c LEFT JOIN keys k ON c.verifier = k.verifier""",
 def claim_admission(spark, sf_dir):
     facts = P.claims(spark, sf_dir).select("subject", F.col("check").alias("check_name"), "verifier", "issued_at")
     keys = signing_keys(spark, sf_dir)
-    judged = L.valid_at(facts, keys, ["verifier"], "issued_at").join(keys.select("verifier", "is_verifier"), "verifier", "left")
+    judged = L.valid_at(facts, keys, ["verifier"], "issued_at", ["is_verifier"])
     reason = L.first_failing(
         (~F.col("check_name").isin(*P.CHECKS[:6]), "unknown check"),
         (~F.col("key_valid"), "key not valid"),

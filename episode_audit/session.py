@@ -6,6 +6,7 @@ that a cluster has already created.
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 
@@ -54,12 +55,14 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
 def checkpoint_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder.
 
-    It is only chosen here when the session names none, which happens in local
-    tests; on a cluster it is shared storage and outlives executors.
+    It is only chosen here when a session of one local process names none, as in
+    tests. A cluster's executors share no local folder, so there one must be named.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="episode-audit-checkpoint-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return named or current.get()

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
+from .inventory import LARGEST_FILE, hashed_in_blocks
 from ..functions.text import path_problem
 
 INFO_SCHEMA = (
@@ -27,7 +28,6 @@ CHUNKED_VIDEO = "videos/{video_key}/chunk-{chunk_index:03d}/file-{file_index:03d
 EPISODE_DATA = "data/chunk-{episode_chunk:03d}/episode_{episode_index:06d}.parquet"
 EPISODE_VIDEO = "videos/{video_key}/chunk-{episode_chunk:03d}/episode_{episode_index:06d}.mp4"
 
-LARGEST_FILE = 2_000_000_000  # larger files cannot be one row
 
 
 def dataset_of(path: Column, tail: str) -> Column:
@@ -36,15 +36,13 @@ def dataset_of(path: Column, tail: str) -> Column:
 
 
 def any_true(rows: DataFrame, candidates: Sequence[str]) -> Column:
-    """Any-true of the first candidate column that exists; null when none does.
+    """Any-true of the first candidate column that has a value; null when none does.
 
-    In a read over many datasets a column some of them lack is null there, and
-    so is the result.
+    In a read over many datasets a column some of them lack is null there, so
+    each group takes the first candidate that its own rows have.
     """
-    for name in candidates:
-        if name in rows.columns:
-            return F.bool_or(F.col(f"`{name}`"))
-    return F.max(F.lit(None).cast("boolean"))
+    known = [F.bool_or(F.col(f"`{name}`")) for name in candidates if name in rows.columns]
+    return F.coalesce(*known) if known else F.max(F.lit(None).cast("boolean"))
 
 
 def read_info(spark: SparkSession, root: str) -> DataFrame:
@@ -184,11 +182,7 @@ def episode_index(spark: SparkSession, root: str) -> DataFrame:
 
 
 def file_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """dataset, path, bytes, hash and error of every data and video file.
-
-    Files too large for one row are listed with an error instead of a hash and
-    are not read.
-    """
+    """dataset, path, bytes, hash and error of every data and video file; files of any size are hashed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([f"{root}/data", f"{root}/videos"] if _exists(spark, f"{root}/videos") else f"{root}/data")
     tail = "((data|videos)/.+)"
     plain = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
@@ -199,8 +193,11 @@ def file_inventory(spark: SparkSession, root: str) -> DataFrame:
         "dataset", "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("hash"),
         F.when(F.length("content") != F.col("length"), "changed while read").alias("error"),
     )
-    large = named.filter(F.col("length") > LARGEST_FILE).select(
-        "dataset", "path", F.col("length").alias("bytes"), F.lit(None).cast("string").alias("hash"), F.lit("too large for one row").alias("error")
+    streamed = hashed_in_blocks(files.filter(F.col("length") > LARGEST_FILE).select("path", "length"))
+    plain = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
+    large = streamed.select(
+        F.regexp_extract(plain, f"^(.*?)/{tail}$", 1).alias("dataset"), F.regexp_extract(plain, f"^.*?/{tail}$", 1).alias("path"),
+        F.col("length").alias("bytes"), "hash", "error",
     )
     return small.unionByName(large)
 
@@ -250,7 +247,7 @@ def read_dataset(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 def write_frames(frames: DataFrame, path: str, files: int) -> None:
     """Frames with float lists as Parquet, episodes kept together and in order."""
     (
-        frames.repartitionByRange(files, "episode_index", "frame_index")
+        frames.repartitionByRange(files, "episode_index")
         .sortWithinPartitions("episode_index", "frame_index")
         .write.mode("append")
         .parquet(path)

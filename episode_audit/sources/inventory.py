@@ -2,19 +2,53 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import path_problem
 
 
+LARGEST_FILE = 2_000_000_000  # larger files cannot be one row; their bytes are read in blocks
+READ_BYTES = 16 << 20
+
+
+def hashed_in_blocks(files: DataFrame) -> DataFrame:
+    """path, length, hash, error of listed files (path, length), read block by block."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            hashes, errors = [], []
+            for path, length in zip(batch["path"], batch["length"], strict=True):
+                digest, seen, error = hashlib.sha256(), 0, None
+                try:
+                    local = path.startswith("/") or path.startswith("file:")
+                    store, name = (fs.LocalFileSystem(), unquote("/" + path.removeprefix("file:").lstrip("/"))) if local else fs.FileSystem.from_uri(path)
+                    with store.open_input_stream(name) as stream:
+                        while block := stream.read(READ_BYTES):
+                            digest.update(block)
+                            seen += len(block)
+                    error = None if seen == length else "changed while read"
+                except OSError as fault:
+                    error = f"unreadable: {fault}"
+                hashes.append(digest.hexdigest() if error is None else None)
+                errors.append(error)
+            yield batch.assign(hash=hashes, error=errors)
+
+    return files.select("path", "length").mapInPandas(run, "path string, length long, hash string, error string")
+
+
 def scan_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """path (relative), bytes, sha-256 of every matching file below `root`.
 
-    The reported length and the bytes read must agree, else `torn` is set.
-    One file is one row; Spark reads files below 2 GB this way.
+    The reported length and the bytes read must agree, else `torn` is set. Files
+    up to LARGEST_FILE are one row each; larger ones are read in blocks.
     """
     files = (
         spark.read.format("binaryFile")
@@ -23,12 +57,15 @@ def scan_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
         .load(root)
     )
     base = root.rstrip("/") + "/"
-    return files.select(
-        F.regexp_replace(F.substring_index("path", base, -1), "%20", " ").alias("path"),
+    relative = F.regexp_replace(F.substring_index("path", base, -1), "%20", " ").alias("path")
+    small = files.filter(F.col("length") <= LARGEST_FILE).select(
+        relative,
         F.col("length").alias("bytes"),
         F.sha2("content", 256).alias("hash"),
         (F.length("content") != F.col("length")).alias("torn"),
     )
+    large = hashed_in_blocks(files.filter(F.col("length") > LARGEST_FILE).select("path", "length"))
+    return small.unionByName(large.select(relative, F.col("length").alias("bytes"), "hash", F.col("error").isNotNull().alias("torn")))
 
 
 def list_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
