@@ -81,11 +81,13 @@ GATE_MARKS = ("dot", "punkt", "punto", "point")
 GATE_AT = ("at)", "at]", "at}", "at>", "@)", "@]", "@}", "@>", "at )", "at ]", "@ )", "@ ]", "arroba", "arobase")
 
 
-def spelled_words(low: str) -> int:
-    """How many different digit words a lower-cased text has."""
+def spells_digits(low: str) -> bool:
+    """Whether a lower-cased text has three different digit words, or eight of any."""
     for sign in "().,-":
         low = low.replace(sign, " ")
-    return len(SPELLED.keys() & set(low.split()))
+    words = low.split()
+    different = len(SPELLED.keys() & set(words))
+    return different >= 3 or different > 0 and sum(w in SPELLED for w in words) >= 8
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -104,6 +106,11 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
             at = text.find("@", at + 1)
 
 
+def said_over_and_over(digits: str) -> bool:
+    """One word repeated is no number."""
+    return len({c for c in digits if c.isdigit()}) < 2
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -160,7 +167,7 @@ def edits_of(text: str, low: str) -> tuple[list[tuple[int, int, str]], list[tupl
             if m := MARKED.match(text, place):
                 found.append((m.start(), m.end(), "@"))
             place = low.find(word, place + 1)
-    if "+" in text or spelled_words(low) >= 3:
+    if "+" in text or spells_digits(low):
         for run in RUN.finditer(text):
             tokens = list(TOKEN.finditer(text, run.start(), run.end()))
             if sum(t["word"] is not None for t in tokens) < 3:
@@ -224,10 +231,10 @@ def added(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
 
     for kind, a, b in detect(written):
         k = bisect_right(rewritten_at, a - 1)
-        if k < len(rewritten_at) and rewritten_at[k] < b:
+        if k < len(rewritten_at) and rewritten_at[k] < b and not (kind == 2 and said_over_and_over(written[a:b])):
             spans.add((kind, source(a, False), source(b, True)))
     for a, b, digits in runs:
-        if 16 <= len(digits) <= 19 and luhn(digits):
+        if 16 <= len(digits) <= 19 and luhn(digits) and not said_over_and_over(digits):
             spans.add((2, a, b))
         elif 10 <= len(digits) <= 15 and len(set(digits)) >= 4 and not any(k in (1, 3) and x < b and a < y for k, x, y in spans):
             spans.add((3, a, b))
