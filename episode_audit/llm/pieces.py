@@ -46,6 +46,7 @@ from .toxicity import ragged
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED, VARIANTS = 0.1, 1, 8
 MARK = "▁"
+AGENDA_CELLS = 400_000  # places of chunks that are merged at once, which bounds a task's memory
 NEVER = np.int32(2**31 - 1)
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -145,7 +146,7 @@ class Vocabulary:
         for a, b in zip(edges, edges[1:], strict=False):
             rows = order[a:b]
             widest = int(sizes[rows[-1]])
-            step = max(1, 4_000_000 // max(widest, 1))
+            step = max(1, AGENDA_CELLS // max(widest, 1))
             for k in range(0, len(rows), step):
                 part = rows[k : k + step]
                 if widest > 1024:  # chunks without a break, of any length

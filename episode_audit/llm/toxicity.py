@@ -106,7 +106,12 @@ def word_effects(effect: np.ndarray, gram_of: np.ndarray, gram_count: np.ndarray
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for each (start, size)."""
     ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes - starts, sizes)
+    total, back = int(ends[-1]) if len(ends) else 0, ends - sizes - starts
+    small = total < 2**31 and (not len(back) or (back.max() < 2**31 and back.min() > -(2**31)))
+    kind = np.int32 if small else np.int64
+    out = np.arange(total, dtype=kind)
+    out -= np.repeat(back.astype(kind), sizes)
+    return out
 
 
 def passages(counts: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
