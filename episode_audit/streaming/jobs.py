@@ -137,6 +137,32 @@ def flag_bursts(stream: DataFrame, key: str, capacity: int = fixed.BURST_CAPACIT
     return stream.groupBy(key).applyInPandasWithState(run, schema, "tokens double, seen double", "append", GroupStateTimeout.NoTimeout)
 
 
+def burst_flags_of(rows: DataFrame, key: str, capacity: int = fixed.BURST_CAPACITY, refill_s: float = fixed.BURST_REFILL_S) -> DataFrame:
+    """The same flags over a whole table of (key, at, event_id), in event time whatever the order of files.
+
+    Rows stream through in the order of (key, at, event_id), so a task holds one
+    batch and one bucket however many requests a key has.
+    """
+    schema = f"{key} bigint, event_id bigint, allowed boolean"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, tokens, seen = None, 0.0, 0.0
+        for batch in batches:
+            allowed = []
+            for own, at in zip(batch[key], batch["at"], strict=True):
+                if own != current:
+                    current, tokens = own, float(capacity)
+                else:
+                    tokens = min(float(capacity), tokens + (at - seen) / refill_s * capacity)
+                seen = at
+                allowed.append(tokens >= 1)
+                tokens -= 1.0 if tokens >= 1 else 0.0
+            yield pd.DataFrame({key: batch[key], "event_id": batch["event_id"], "allowed": allowed})
+
+    ordered = rows.select(key, "at", "event_id").repartition(key).sortWithinPartitions(key, "at", "event_id")
+    return ordered.mapInPandas(run, schema)
+
+
 def drain_bursts(spark: SparkSession, folder: str, pattern: str, schema: T.StructType, capacity: int, refill_s: float) -> DataFrame:
     """Run the burst job over all files matching a pattern and read back its output."""
     # a micro-batch is sorted per key in memory, so its size is bounded

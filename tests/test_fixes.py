@@ -132,3 +132,23 @@ def test_a_cluster_must_name_a_checkpoint_folder():
     session = type("Session", (), {"conf": type("C", (), {"get": lambda self, key, default=None: None})(), "sparkContext": Context()})()
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         checkpoint_folder(session)
+
+
+def test_burst_flags_do_not_depend_on_the_order_of_rows(spark):
+    import random
+
+    from episode_audit.streaming.jobs import burst_flags_of
+
+    rng = random.Random(4)
+    rows = [(u, float(rng.randrange(400)), 1000 * u + k) for u in range(5) for k in range(60 if u else 600)]
+    expected, state = {}, {}
+    for u, at, i in sorted(rows):
+        tokens, seen = state.get(u, (3.0, at))
+        tokens = min(3.0, tokens + (at - seen) / 60 * 3)
+        expected[i] = tokens >= 1
+        state[u] = (tokens - (1 if tokens >= 1 else 0), at)
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "user bigint, at double, event_id bigint").repartition(3)
+        got = {r.event_id: r.allowed for r in burst_flags_of(df, "user", 3, 60).collect()}
+        assert got == expected
