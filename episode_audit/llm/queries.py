@@ -124,7 +124,29 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "lossless")
 
 
-@query("op9_parity_join")
+SHINGLES_SQL = rf"""
+    with recursive w as (
+        select doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') as words from documents
+    ),
+    sets as (
+        select doc_id, case when len(words) = 0 then [] else list_distinct(list_transform(
+            range(0, greatest(len(words) - 5, 0) + 1), lambda i: array_to_string(words[i + 1:i + 5], ' '))) end as tokens
+        from w
+    ),
+    t as (select doc_id, len(tokens) as n, unnest(tokens) as token from sets),
+    common as (
+        select a.doc_id as a, b.doc_id as b, any_value(a.n) as n, any_value(b.n) as m, count(*) as shared
+        from t a join t b on a.token = b.token and a.doc_id < b.doc_id group by a.doc_id, b.doc_id
+    ),
+    links as (select a, b from common where 100 * shared >= 75 * (n + m - shared)),
+    ways as (select a, b from links union all select b, a from links),
+    reach as (select doc_id, doc_id as other from w union select r.doc_id, l.b from reach r join ways l on r.other = l.a)
+    select s.doc_id, any_value(len(s.tokens))::bigint as n_shingles, min(r.other) as component_id
+    from sets s join reach r on s.doc_id = r.doc_id group by s.doc_id
+"""
+
+
+@query("op9_parity_join", SHINGLES_SQL)
 def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle set size and component of every document."""
     return components(table(spark, sf_dir, "documents"))
