@@ -303,10 +303,12 @@ def correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "motion_correlation",
-    "WITH " + EPISODES_SQL + ", " + MOTION_SQL + " SELECT episode, samples, round(rho, 6) AS rho FROM correl",
+    "WITH " + EPISODES_SQL + ", " + MOTION_SQL + " SELECT episode, samples, round(rho, 6) AS rho FROM (SELECT DISTINCT episode FROM eps) LEFT JOIN correl USING (episode)",
 )
 def motion_correlation(spark, sf_dir):
-    return correlation(spark, sf_dir).select("episode", "samples", F.round("rho", 6).alias("rho"))
+    """A row for every episode; null where it has no motion series or too few samples."""
+    every = P.frames(spark, sf_dir).select("episode").distinct()
+    return every.join(correlation(spark, sf_dir), "episode", "left").select("episode", "samples", F.round("rho", 6).alias("rho"))
 
 
 SHARE_SQL = """
