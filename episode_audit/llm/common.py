@@ -11,7 +11,7 @@ from ..session import configure
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
-BATCH_BYTES = 4 << 20  # Arrow batches of texts are bounded in bytes, so long texts travel nearly alone
+BATCH_BYTES = 2 << 20  # Arrow batches of texts are bounded in bytes, so long texts travel nearly alone
 BATCH_ROWS = 2000
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -46,7 +46,7 @@ from .toxicity import ragged
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED, VARIANTS = 0.1, 1, 8
 MARK = "▁"
-AGENDA_CELLS = 400_000  # places of chunks that are merged at once, which bounds a task's memory
+AGENDA_CELLS = 200_000  # places of chunks that are merged at once, which bounds a task's memory
 NEVER = np.int32(2**31 - 1)
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
