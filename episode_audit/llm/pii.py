@@ -6,9 +6,12 @@ came from:
 
 - homoglyphs: fullwidth forms, look-alike Cyrillic and Greek letters and other
   decimal digits become ASCII; invisible characters become nothing;
-- "(at)", "[dot]" and the like become "@" and "."; so do bare words where an
-  address follows (at ... dot ...), and bare "dot" between numbers;
+- "(at)", "[dot]" and the like become "@" and "."; so do bare "dot" in the domain
+  behind an at-sign of any form, bare "at" before a domain with a disguised dot,
+  or before a plain domain where the local part holds a digit or an inner "." or
+  "_", and bare "dot" between numbers; the forms may be mixed;
 - runs of spelled digits (at least three) become digits, "plus" before them "+".
+  Every run is looked at by itself, whatever else the text holds.
 
 The detectors run again on what the transducers wrote; a match that holds a
 rewritten piece is mapped back to source characters, whole pieces at a time,
@@ -38,7 +41,6 @@ from .common import quoted
 # The kinds in their order and the patterns of base identifiers.
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+$")
-AT_WORDS = (" at ", " arroba ", " arobase ")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -66,28 +68,32 @@ SPELLED = {
 } | {"oh": "0"}
 _WORD = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
 AT_WORD, DOT_WORD = "(?:at|arroba|arobase)", "(?:dot|punkt|punto|point)"
-BRACKETED = re.compile(rf"[ \t]*[\[({{<][ \t]*(?:(?P<at>@|{AT_WORD})|(?P<dot>\.|{DOT_WORD}))[ \t]*[\])}}>][ \t]*", re.I)
-BARE = re.compile(rf"(?<=[A-Za-z0-9])[ \t]+{AT_WORD}[ \t]+(?=[A-Za-z0-9-]+(?:[ \t]+{DOT_WORD}[ \t]+[A-Za-z0-9-]+)+)", re.I)
-MARKED = re.compile(rf"(?:(?<=[0-9])|(?<=[._][A-Za-z0-9]))[ \t]+{AT_WORD}[ \t]+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}})", re.I)
-BARE_DOT = re.compile(rf"[ \t]+{DOT_WORD}[ \t]+(?=[A-Za-z0-9])", re.I)
-ADDRESS = re.compile(rf"[A-Za-z0-9-]+(?:[ \t]+{DOT_WORD}[ \t]+[A-Za-z0-9-]+)+", re.I)
-NUMBERS = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:[ \t]+{DOT_WORD}[ \t]+[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
+OPEN, CLOSE = r"[\[({<][ \t]*", r"[ \t]*[\])}>]"
+BRACKETED = re.compile(rf"{OPEN}(?:(?P<at>@|{AT_WORD})|(?P<dot>\.|{DOT_WORD})){CLOSE}[ \t]*", re.I | re.A)
+IN_BRACKETS = rf"[ \t]*{OPEN}(?:\.|{DOT_WORD}){CLOSE}[ \t]*"
+# A dot in any form between two labels or numbers.
+ANY_DOT = rf"(?:[.∙․。．]|{IN_BRACKETS}|[ \t]+{DOT_WORD}[ \t]+)"
+AT_SIGN = re.compile("[@＠﹫]")
+BARE_AT = re.compile(rf"(?<=[ \t]){AT_WORD}(?=[ \t])", re.A)
+BARE_DOT = re.compile(rf"[ \t]+{DOT_WORD}[ \t]+(?=[A-Za-z0-9-])", re.I | re.A)
+CHAIN = re.compile(rf"[A-Za-z0-9-]+(?:{ANY_DOT}[A-Za-z0-9-]+)+", re.I | re.A)
+PLAIN_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+MARKED = re.compile(r"[0-9]|[A-Za-z0-9][._]+[A-Za-z0-9]")
+NUMBERS = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{ANY_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I | re.A)
 RUN = re.compile(
-    rf"(?<!\w)(?:\+[ ]?|plus[ ]+)?(?:{_WORD}|[0-9]+)(?:(?:[\s().,-]{{1,3}}|[\s]+{DOT_WORD}[\s]+)(?:{_WORD}|[0-9]+))+(?!\w)", re.I
+    rf"(?<!\w)(?:\+[ ]?|plus[ ]+)?(?:{_WORD}|[0-9]+)(?:(?:{IN_BRACKETS}|[\s().,-]{{1,3}}|[\s]+{DOT_WORD}[\s]+)(?:{_WORD}|[0-9]+))+(?!\w)", re.I
 )
-TOKEN = re.compile(rf"(?P<word>{_WORD})|(?P<dot>\s+{DOT_WORD}\s+)|(?P<plus>\+[ ]?|plus[ ]+)|(?P<digits>[0-9]+)|(?P<gap>[\s().,-]+)", re.I)
+TOKEN = re.compile(rf"(?P<word>{_WORD})|(?P<dot>{IN_BRACKETS}|\s+{DOT_WORD}\s+)|(?P<plus>\+[ ]?|plus[ ]+)|(?P<digits>[0-9]+)|(?P<gap>[\s().,-]+)", re.I)
 GATE_ODD = re.compile("[" + re.escape("".join(c for c in LOOKALIKES if ord(c) > 127) + INVISIBLE) + "！-～]|[^\\W\\x00-\\x7fa-zA-Z_](?<=\\d)")
+#: What a chain of labels holds besides letters, digits, hyphens and plain dots where one of its dots is disguised.
+ODD_DOT_CHARS = frozenset(" \t[](){}<>∙․。．")
 GATE_MARKS = ("dot", "punkt", "punto", "point")
-GATE_AT = ("at)", "at]", "at}", "at>", "@)", "@]", "@}", "@>", "at )", "at ]", "@ )", "@ ]", "arroba", "arobase")
+# Letters that match i and s where case is ignored.
+ODD_CASE = str.maketrans("İıſ", "iis")
 
 
-def spells_digits(low: str) -> bool:
-    """Whether a lower-cased text has three different digit words, or eight of any."""
-    for sign in "().,-":
-        low = low.replace(sign, " ")
-    words = low.split()
-    different = len(SPELLED.keys() & set(words))
-    return different >= 3 or different > 0 and sum(w in SPELLED for w in words) >= 8
+def digit_of(word: str) -> str:
+    return SPELLED[word.translate(ODD_CASE).lower()]
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -145,46 +151,68 @@ def plain(char: str) -> str | None:
     return None if digit is None or char.isascii() else str(digit)
 
 
+def bare_dots(text: str, stretch: re.Match | None) -> list[tuple[int, int, str]]:
+    """Edits of the bare dots inside a domain or an address of numbers."""
+    if stretch is None:
+        return []
+    return [(d.start(), d.end(), ".") for d in BARE_DOT.finditer(text, stretch.start(), stretch.end())]
+
+
+def marked_local(text: str, end: int) -> bool:
+    """Whether the local characters before `end` hold a digit or an inner dot or underscore, unlike a word."""
+    start = end
+    while start and text[start - 1] in LOCAL_CHARS:
+        start -= 1
+    return MARKED.search(text, start, end) is not None
+
+
 def edits_of(text: str, low: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Rewritten pieces (start, end, output), and runs of spelled digits (start, end, their digits)."""
     found: list[tuple[int, int, str]] = []
     runs: list[tuple[int, int, str]] = []
     if not text.isascii():
         found += [(m.start(), m.end(), plain(m.group())) for m in GATE_ODD.finditer(text) if plain(m.group()) is not None]
-    dots = any(g in low for g in GATE_MARKS)
-    if dots or any(g in low for g in GATE_AT):
-        found += [(m.start(), m.end(), "@" if m["at"] else ".") for m in BRACKETED.finditer(text)]
-    if dots:
-        for m in BARE.finditer(text):
-            found.append((m.start(), m.end(), "@"))
-            address = ADDRESS.match(text, m.end())
-            found += [(d.start(), d.end(), ".") for d in BARE_DOT.finditer(text, address.start(), address.end() + 1)]
+    for m in BRACKETED.finditer(text):
+        start = m.start()
+        while start and text[start - 1] in " \t":
+            start -= 1
+        found.append((start, m.end(), "@" if m["at"] else "."))
+        if m["at"]:
+            found += bare_dots(text, CHAIN.match(text, m.end()))
+    if any(g in low for g in GATE_MARKS):
+        for m in AT_SIGN.finditer(text):
+            found += bare_dots(text, CHAIN.match(text, m.end()))
         for n in NUMBERS.finditer(text):
-            found += [(d.start(), d.end(), ".") for d in BARE_DOT.finditer(text, n.start(), n.end())]
-    for word in AT_WORDS:
-        place = low.find(word)
-        while place >= 0:
-            if m := MARKED.match(text, place):
-                found.append((m.start(), m.end(), "@"))
-            place = low.find(word, place + 1)
-    if "+" in text or spells_digits(low):
-        for run in RUN.finditer(text):
-            tokens = list(TOKEN.finditer(text, run.start(), run.end()))
-            if sum(t["word"] is not None for t in tokens) < 3:
-                continue
-            written = []
-            for t in tokens:
-                if t["word"]:
-                    written.append((t.start(), t.end(), SPELLED[t.group().lower()]))
-                elif t["dot"]:
-                    written.append((t.start(), t.end(), "."))
-                elif t["plus"]:
-                    written.append((t.start(), t.end(), "+"))
-                elif t["gap"]:
-                    written.append((t.start(), t.end(), ""))
-            found += written
-            digits = "".join(SPELLED[t.group().lower()] if t["word"] else t.group() if t["digits"] else "" for t in tokens)
-            runs.append((run.start(), run.end(), digits))
+            found += bare_dots(text, n)
+    for m in BARE_AT.finditer(low):
+        start, end = m.span()
+        while start and text[start - 1] in " \t":
+            start -= 1
+        while end < len(text) and text[end] in " \t":
+            end += 1
+        chain = CHAIN.match(text, end) if start and text[start - 1].isascii() and text[start - 1].isalnum() else None
+        if not chain:
+            continue
+        if set(chain.group()) & ODD_DOT_CHARS or marked_local(text, start) and PLAIN_DOMAIN.match(text, end):
+            found.append((start, end, "@"))
+            found += bare_dots(text, chain)
+    for run in RUN.finditer(text):
+        tokens = list(TOKEN.finditer(text, run.start(), run.end()))
+        if sum(t["word"] is not None for t in tokens) < 3:
+            continue
+        written = []
+        for t in tokens:
+            if t["word"]:
+                written.append((t.start(), t.end(), digit_of(t.group())))
+            elif t["dot"]:
+                written.append((t.start(), t.end(), "."))
+            elif t["plus"]:
+                written.append((t.start(), t.end(), "+"))
+            elif t["gap"]:
+                written.append((t.start(), t.end(), ""))
+        found += written
+        digits = "".join(digit_of(t.group()) if t["word"] else t.group() if t["digits"] else "" for t in tokens)
+        runs.append((run.start(), run.end(), digits))
     kept, end = [], 0
     for edit in sorted(found, key=lambda e: (e[0], -e[1])):
         if edit[0] >= end:

@@ -369,3 +369,26 @@ def test_pii_query_rows(spark, odd_docs, no_docs):
         spans = [s.split(":") for s in r.spans.split(",")] if r.spans else []
         assert len(spans) == r.n_email + r.n_ip + r.n_card + r.n_phone + r.n_added
         assert r.n_added or r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest()
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("at eight dot eight dot four dot four, it", 1, "eight dot eight dot four dot four"),
+        ("or plus one 212 five five five 0100.", 3, "plus one 212 five five five 0100"),
+        ("to john (at) example dot com.", 0, "john (at) example dot com"),
+        ("to john@example dot com.", 0, "john@example dot com"),
+        ("to john at example [dot] com.", 0, "john at example [dot] com"),
+        ("to john@example[.]co dot uk.", 0, "john@example[.]co dot uk"),
+        ("to bob.smith at example.com.", 0, "bob.smith at example.com"),
+        ("to x7y at example.com.", 0, "x7y at example.com"),
+        ("ip 10[.]1 dot 2.3, it", 1, "10[.]1 dot 2.3"),
+    ],
+)
+def test_disguises_combine_and_need_no_other_text(text, kind, found):
+    assert [(k, text[a:b]) for k, a, b in pii.added(text, pii.detect(text))] == [(kind, found)]
+
+
+def test_words_around_at_and_odd_case_digits_are_no_identifiers():
+    for text in ("well-known at example.com", "ſix SİX sıx", "he waits @ the dot", "seen at home. Dot went"):
+        assert pii.added(text, pii.detect(text)) == []
