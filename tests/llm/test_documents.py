@@ -204,6 +204,13 @@ def test_line_dedup_equals_brute_force(spark, no_docs, odd_docs):
     assert odd[2] == 1 and odd[3] == odd[4] == odd[5] == 0 and (odd[6], odd[7]) == (0, 2)
 
 
+def test_line_dedup_keeps_every_line_without_words(spark):
+    texts = ["one two\r\n\r\n\r\nthree\r\n\r", "\t\n\t\n \t \x0b\x0c\n\r\none two\r", "\r\n\t\n\n \none"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.removed for r in line_dedup.removed_lines(docs).collect()} == {0: [], 1: [4], 2: []}
+    assert {r.doc_id: r.text for r in line_dedup.drop_lines(docs).collect()} == {0: texts[0], 1: "\t\n\t\n \t \x0b\x0c\n\r", 2: texts[2]}
+
+
 # --- SentencePiece
 
 
