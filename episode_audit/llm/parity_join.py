@@ -19,8 +19,10 @@ that many documents share stay out wherever a text has others. K depends on a
 size band (powers of four); a set whose partners may lie in the next band emits
 for both. A set whose parts collide so much that fewer than D + k hold anything
 adds one word for its band; only two such sets can miss each other otherwise.
-A node that does not share k of its words with any others at all drops out: in
-large corpora most documents share a few shingles with some other by chance.
+A smaller partner emits fewer words, so a pair only has the k of its smaller set
+in common: a node that does not share the k of its smallest possible partner (3a/4)
+with any others at all drops out, as in large corpora most documents share a few
+shingles with some other by chance.
 
 Join. Equal sets share a fingerprint and are one node from the start. One
 shuffle by part word finds words with two nodes or more; words that the table
@@ -112,6 +114,11 @@ def asked(size: np.ndarray) -> np.ndarray:
     return most_differing(size) // 4 + 1
 
 
+def smallest_partner(size: np.ndarray) -> np.ndarray:
+    """Size of the smallest set that a set of this size may link with."""
+    return -(-3 * size // 4)
+
+
 def band_of(size: np.ndarray) -> np.ndarray:
     """Size band: 4^3 and below is 2, then one for each power of four."""
     out = np.full(len(size), 2)
@@ -225,7 +232,7 @@ def emitted_words(texts: DataFrame, levels: np.ndarray) -> DataFrame:
             fp, _ = fingerprints(hashes, counts)
             row, word, rarity = rarest_words(hashes, counts, shared.value)
             # a cell's count is an upper bound; one that only looks frequent costs a few rows more
-            need = np.where(rarity == 255, 0, asked(counts)[row]).astype(np.int32)
+            need = np.where(rarity == 255, 0, asked(smallest_partner(counts))[row]).astype(np.int32)
             columns = [pa.array(word.view(np.int64)), pa.array(fp[row].view(np.int64)), pa.array(need), pa.array(rarity >= often)]
             yield pa.RecordBatch.from_arrays(columns, names=["word", "fp", "need", "often"])
 

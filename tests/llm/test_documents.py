@@ -142,6 +142,21 @@ def test_parity_join_equals_brute_force(spark, no_docs):
     assert parity_join.components(no_docs).count() == 0
 
 
+def test_parity_join_links_sets_on_both_sides_of_a_step(spark):
+    # the larger set asks for two common words from size 12 on, the smaller emits for one
+    rows, sizes = [], [(12, 11, 10), (12, 9, 9), (13, 10, 10), (14, 11, 11), (24, 23, 21), (24, 20, 19)]
+    for pair in range(3000):
+        a, b, common = sizes[0] if pair < 1500 else sizes[pair % len(sizes)]
+        body = [f"p{pair}x{k}" for k in range(common + 4)]
+        for nth, more in enumerate((a - common, b - common)):
+            rows.append((2 * pair + nth, " ".join(body + [f"p{pair}y{nth}z{k}" for k in range(more)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = sets_of(rows)
+    assert all(7 * len(sets[i] & sets[i + 1]) >= 3 * (len(sets[i]) + len(sets[i + 1])) for i in range(0, len(rows), 2))
+    got = {r.doc_id: r.component_id for r in parity_join.components(docs).collect()}
+    assert [i for i in got if got[i] != i - i % 2] == []
+
+
 def test_parity_join_odd_rows(odd_docs):
     got = sorted(((r.doc_id, r.component_id) for r in parity_join.components(odd_docs).collect()), key=str)
     assert sorted(((1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 6), (7, 6), (7, 6), (None, None), (8, 8), (9, 9)), key=str) == got
