@@ -16,6 +16,9 @@ from episode_audit.llm.toxicity import fit, reject
 from episode_audit.session import checkpoint_folder
 
 
+COPY = "mix_copy"  # which copy of a document a row of the mix is
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose worst passage scores below one half."""
     prepared(spark)
@@ -37,13 +40,13 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target takes them, in training order."""
     prepared(spark)
-    return mix(docs)
+    return mix(docs, copy_col=COPY)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text; a document the mix took twice has a row for each time."""
+    """Ids of every text; a document the mix took twice has a row, with dropout of its own, for each time."""
     prepared(spark)
-    rows = encode(docs, keep=["doc_id", "source"])
+    rows = encode(docs, keep=["doc_id", "source"], copy_col=COPY)
     return rows.select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "lossless")
 
 

@@ -146,12 +146,13 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     )
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, copy_col: str | None = None) -> DataFrame:
     """The mixed corpus: a row of `docs` for each time it is taken, range-sorted by training position.
 
+    `copy_col` names a further column, the number of the copy from 0.
     Rows that repeat an id and a text are taken alike.
     """
-    position, key, size = fresh(docs, "position", "key", "size")
+    position, key, size, copy = fresh(docs, "position", "key", "size", copy_col or "copy")
     plan = plan_mix(docs, id_col, text_col, source_col, seed).where("copies > 0")
     plan = plan.groupBy("id", "source", "size").agg(F.max_by("positions", "copies").alias("positions"))
     plan = plan.select(F.col("id").alias(key), F.col("source").alias("plan_source"), F.col("size").alias("plan_size"), F.col("positions").alias(position))
@@ -160,5 +161,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         plan,
         quoted(id_col).eqNullSafe(plan[key]) & quoted(source_col).eqNullSafe(plan["plan_source"]) & (rows[size] == plan["plan_size"]),
     )
-    taken = joined.select(*[rows["`" + c.replace("`", "``") + "`"] for c in docs.columns], F.explode(plan[position]).alias(position))
-    return taken.orderBy(F.col(position), quoted(id_col)).drop(position)
+    taken = joined.select(*[rows["`" + c.replace("`", "``") + "`"] for c in docs.columns], F.posexplode(plan[position]).alias(copy, position))
+    return taken.orderBy(F.col(position), quoted(id_col)).drop(position, *([] if copy_col else [copy]))

@@ -6,17 +6,21 @@ the tasks as its file's bytes; nothing is trained here.
 Encoding. A text gets one space in front and spaces become the word mark, as
 the model's own encoder does. No piece has a word mark after another sign, so
 merges never cross from a sign to a following mark; texts are cut there into
-chunks, and equal chunks of an Arrow batch are merged once. All chunks of a
-batch are merged together: each keeps an agenda of candidate merges (pairs of
+chunks. All chunks of a batch are merged together: each keeps an agenda of candidate merges (pairs of
 neighbours whose join is a piece); in every step each chunk takes its best
 candidate, the piece with the best score, the leftmost of equals. Dropout
-decides when a candidate enters the agenda: a hash keyed by (seed, variant,
-chunk, span of the candidate) below `dropout` skips it for good. Other merges
-over the same span may still come to stand, as in any agenda. So a rate of 0 is
-the model's own segmentation, a rate of 1 gives single characters, and one seed
-always gives the same ids. A chunk's variant is a hash of (seed, id of the
-document, place of the chunk) modulo `VARIANTS`, so repeats of a word vary
-within and across documents.
+decides when a candidate enters the agenda: a hash keyed by (chunk, document,
+copy, place of the chunk, seed, span of the candidate) below `dropout` skips it for
+good. Other merges over the same span may still come to stand, as in any agenda.
+So a rate of 0 is the model's own segmentation, a rate of 1 gives single
+characters, and one seed always gives the same ids. Every occurrence of a word has
+draws of its own, whatever the size of the corpus.
+
+Work is shared without sharing draws: a candidate's span spells a piece, so the
+spans of a chunk that spell pieces are all that a draw can decide. Occurrences of
+a chunk in an Arrow batch that skip the same ones of those spans have the same
+segmentation and are merged once. Chunks with more than `MASK_BITS` such spans, or
+of more than `LONGEST_SHARED` signs, are merged by themselves.
 
 Characters without a piece fall back to their UTF-8 bytes. A word mark that
 stands in the text itself is taken as bytes too, which keeps decoding exact.
@@ -25,7 +29,8 @@ Decoding joins the pieces' bytes and takes the leading space away: the source
 text exactly, whatever the seed.
 
 Null and empty texts have no ids and decode to an empty text. A null id hashes
-like an empty one. Repeated rows are encoded alike. Very long texts travel in an
+like an empty one. Rows that repeat an id are encoded alike unless `copy_col` tells
+them apart. Very long texts travel in an
 Arrow batch of their own. Other columns of the table are carried along.
 """
 
@@ -44,7 +49,8 @@ from .common import fresh, quoted
 from .toxicity import ragged
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS = 0.1, 1, 8
+DROPOUT, SEED = 0.1, 1
+MASK_BITS, LONGEST_SHARED = 64, 256
 MARK = "▁"
 AGENDA_CELLS = 200_000  # places of chunks that are merged at once, which bounds a task's memory
 NEVER = np.int32(2**31 - 1)
@@ -90,6 +96,13 @@ class Vocabulary:
             if len(text) == 1 and text != MARK:
                 self.char_id[ord(text)] = i
         self.char_id[0x20] = by_text[MARK]
+        self.spelled = sorted(text.replace(MARK, " ") for text in by_text if len(text) > 1)
+        self.longest = max(map(len, self.spelled), default=0)
+        self.may_spell = np.zeros(1 << 22, dtype=bool)  # by hash, so a few spans more than spell pieces
+        codes = np.frombuffer("".join(self.spelled).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        signs = np.array([len(t) for t in self.spelled], dtype=np.int64)
+        for at, many, place in self.stretches(codes, np.cumsum(signs) - signs, signs):
+            self.may_spell[place[signs[at] == many]] = True
         pairs, joined = [], []
         for text, i in by_text.items():
             for cut in range(1, len(text)):
@@ -172,8 +185,72 @@ class Vocabulary:
         rank = self.rank[piece]
         if dropout <= 0:
             return rank
+        return np.where(self.skipped(keys, start, end, dropout), NEVER, rank)
+
+    @staticmethod
+    def skipped(keys, start, end, dropout: float) -> np.ndarray:
+        """Whether the keyed hash skips a candidate over a span."""
         draw = mixed(mixed(keys, start), end)
-        return np.where((draw >> np.uint64(11)).astype(np.float64) < dropout * 2.0**53, NEVER, rank)
+        return (draw >> np.uint64(11)).astype(np.float64) < dropout * 2.0**53
+
+    def stretches(self, codes: np.ndarray, starts: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """For each length from 2: which of `starts` have as many signs left, the length, and the hash of these signs."""
+        at = np.arange(len(starts))
+        value = codes[starts]
+        with np.errstate(over="ignore"):
+            for size in range(2, self.longest + 1):
+                more = left[at] >= size
+                at, value = at[more], value[more]
+                if not len(at):
+                    return
+                value = (value ^ (value >> np.uint64(31))) * K1 + codes[starts[at] + size - 1]
+                yield at, size, ((value * K2) >> np.uint64(42)).astype(np.int64)
+
+    def spans(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of all spans that may spell pieces, by chunk, and how many each chunk has; -1 for more than a mask holds."""
+        counts = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
+        usual = np.flatnonzero(counts <= LONGEST_SHARED)
+        sizes = counts[usual]
+        codes = np.frombuffer("".join([chunks[k] for k in usual.tolist()]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        first = np.cumsum(sizes) - sizes
+        owner = np.repeat(usual, sizes)
+        place = np.arange(len(codes)) - np.repeat(first, sizes)
+        owners, begins, ends = [], [], []
+        for at, size, where in self.stretches(codes, np.arange(len(codes)), np.repeat(sizes, sizes) - place):
+            at = at[self.may_spell[where]]
+            owners.append(owner[at])
+            begins.append(place[at])
+            ends.append(place[at] + size)
+        if not owners:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.where(counts > LONGEST_SHARED, -1, 0)
+        owner, begin, end = np.concatenate(owners), np.concatenate(begins), np.concatenate(ends)
+        held = np.bincount(owner, minlength=len(chunks))
+        keep = held[owner] <= MASK_BITS
+        owner, begin, end = owner[keep], begin[keep], end[keep]
+        order = np.argsort(owner, kind="stable")
+        return begin[order], end[order], np.where((counts > LONGEST_SHARED) | (held > MASK_BITS), -1, held)
+
+    def masks(self, chunks: list[str], index: np.ndarray, keys: np.ndarray, dropout: float) -> np.ndarray:
+        """For each occurrence of a chunk the spans that its key skips, a bit each; a number of its own without a mask."""
+        begins, ends, counts = self.spans(chunks)
+        held = np.maximum(counts, 0)
+        heads = np.cumsum(held) - held
+        bits = np.uint64(1) << (np.arange(len(begins)) - np.repeat(heads, held)).astype(np.uint64)
+        out = np.zeros(len(index), dtype=np.uint64)
+        some = np.flatnonzero(held[index])
+        drawn = np.cumsum(held[index[some]])
+        edges = np.searchsorted(drawn, np.arange(0, drawn[-1], AGENDA_CELLS)).tolist() if len(some) else []
+        for a, b in zip(edges, [*edges[1:], len(some)], strict=True):
+            part = some[a:b]
+            if not len(part):
+                continue
+            many = held[index[part]]
+            at = ragged(heads[index[part]], many)
+            skip = self.skipped(np.repeat(keys[part], many), begins[at], ends[at], dropout)
+            out[part] = np.bitwise_or.reduceat(np.where(skip, bits[at], np.uint64(0)), np.cumsum(many) - many)
+        alone = np.flatnonzero(counts[index] < 0)
+        out[alone] = alone.astype(np.uint64)
+        return out
 
     def merge(self, symbols, alive, starts, sizes, width: int, keys, dropout: float) -> None:
         n = len(starts)
@@ -258,7 +335,7 @@ class Vocabulary:
         symbols[start : start + size] = ids
         alive[start : start + size] = ~np.array(dead)
 
-    def encode(self, texts: pa.Array, doc_keys: np.ndarray, dropout: float, seed: int, variants: int = VARIANTS) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, doc_keys: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and how many each text has."""
         texts = pc.fill_null(texts, "")
         full = pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
@@ -278,16 +355,21 @@ class Vocabulary:
         chunks = pa.StringArray.from_buffers(len(begins), pa.py_buffer(bounds.tobytes()), spaced.buffers()[2]) if len(begins) else pa.array([], pa.string())
         coded = chunks.dictionary_encode()
         index = coded.indices.to_numpy().astype(np.int64)
-        if dropout > 0 and variants > 1:
+        names = coded.dictionary.to_pylist()
+        keys = chunk_keys(coded.dictionary)[index]
+        if dropout > 0:
             place = np.arange(len(begins)) - np.repeat(np.searchsorted(doc, np.arange(len(spaced))), np.bincount(doc, minlength=len(spaced)))
-            variant = (mixed(mixed(doc_keys[doc], place), seed) % np.uint64(variants)).astype(np.int64)
+            keys = mixed(mixed(mixed(keys, doc_keys[doc]), place), seed)
+            mask = self.masks(names, index, keys, dropout)
+            order = np.lexsort((mask, index))
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (index[order][1:] != index[order][:-1]) | (mask[order][1:] != mask[order][:-1])
+            first = order[new]
+            inverse = np.empty(len(order), dtype=np.int64)
+            inverse[order] = np.cumsum(new) - 1
         else:
-            variant = np.zeros(len(begins), dtype=np.int64)
-        wanted, inverse = np.unique(index * variants + variant, return_inverse=True)
-        names = coded.dictionary.to_pylist()
-        own = [names[i] for i in (wanted // variants).tolist()]
-        keys = mixed(mixed(chunk_keys(coded.dictionary)[wanted // variants], wanted % variants), seed)
-        ids, counts = self.segment(own, keys, dropout)
+            _, first, inverse = np.unique(index, return_index=True, return_inverse=True)
+        ids, counts = self.segment([names[i] for i in index[first].tolist()], keys[first], dropout)
         heads = np.cumsum(counts) - counts
         inverse, doc = inverse[keep], doc[keep]
         out = ids[ragged(heads[inverse], counts[inverse])]
@@ -342,18 +424,21 @@ def encode(
     text_col: str = "text",
     dropout: float = DROPOUT,
     seed: int = SEED,
-    variants: int = VARIANTS,
     model: str = MODEL,
     keep: list[str] | None = None,
+    copy_col: str | None = None,
 ) -> DataFrame:
-    """Columns `keep` (all by default), `token_ids` and `lossless` (decoding gave the text back)."""
+    """Columns `keep` (all by default), `token_ids` and `lossless` (decoding gave the text back).
+
+    `copy_col` numbers the rows of a document that is there several times, so that each has draws of its own.
+    """
     keep = docs.columns if keep is None else keep
     ids_name, lossless = fresh(docs, "token_ids", "lossless")
     key, text = fresh(docs, "key_", "text_")
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model))
     source = docs.select(
         *map(quoted, keep),
-        F.xxhash64(F.coalesce(quoted(id_col).cast("string"), F.lit(""))).alias(key),
+        F.xxhash64(F.coalesce(quoted(id_col).cast("string"), F.lit("")), *([] if copy_col is None else [quoted(copy_col)])).alias(key),
         F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias(text),
     )
     names = [*keep, ids_name, lossless]
@@ -363,7 +448,7 @@ def encode(
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).cast(pa.string())
             keys = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False).view(np.uint64)
-            ids, counts = words.encode(texts, keys, dropout, seed, variants)
+            ids, counts = words.encode(texts, keys, dropout, seed)
             same = pc.equal(words.decode(ids, counts), texts)
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))

@@ -292,6 +292,41 @@ def test_pieces_are_lossless_seeded_and_varied(spark, odd_docs, no_docs):
     assert len(ids) > len(plain)
 
 
+def test_every_occurrence_has_draws_of_its_own(model):
+    words = pieces.vocabulary(model)
+    # every occurrence as if merged alone, in texts of shared, long and odd chunks
+    texts = [" the information the unbelievable the information " * 5, "internationalization ab▁cd  the 日本 the" + " x" * 30, "ab" * 300 + " the", ""]
+    docs = np.array([11, 12, 13, 14], dtype=np.uint64)
+    for dropout in (0.0, 0.1, 0.5, 1.0):
+        shared, _ = words.encode(pa.array(texts), docs, dropout, 1)
+        pieces_alone, held = [], words.masks
+        try:
+            words.masks = lambda chunks, index, keys, dropout: np.arange(len(index), dtype=np.uint64)
+            pieces_alone, _ = words.encode(pa.array(texts), docs, dropout, 1)
+        finally:
+            words.masks = held
+        assert shared.tolist() == pieces_alone.tolist()
+    # more than eight segmentations of a word, and a word of one merge is dropped once in ten times
+    ids, counts = words.encode(pa.array([" internationalization"] * 4000), np.arange(4000, dtype=np.uint64), 0.1, 1)
+    assert len({tuple(x) for x in np.split(ids, np.cumsum(counts)[:-1])}) > 30
+    single = next(c for c in words.spelled if len(c) == 2 and c[0] == " " and c[1].isalpha())
+    for many, docs in ((20_000, 1), (1, 20_000)):
+        ids, counts = words.encode(pa.array([(single * many)[1:]] * docs), np.arange(docs, dtype=np.uint64), 0.1, 1)
+        assert 0.09 < counts.sum() / 20_000 - 1 < 0.11
+
+
+def test_copies_of_a_document_are_encoded_apart(spark):
+    docs = spark.createDataFrame([(1, "internationalization of words " * 20, "a")] * 1, "doc_id long, text string, source string")
+    mixed = mixing.mix(docs.unionByName(docs.select(F.lit(2).cast("long").alias("doc_id"), "text", F.lit("b").alias("source"))), copy_col="copy")
+    twice = docs.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    first, second = (r.token_ids for r in pieces.encode(twice, copy_col="copy").collect())
+    assert first != second
+    per = defaultdict(list)
+    for r in mixed.collect():
+        per[r.doc_id].append(r["copy"])
+    assert all(sorted(x) == list(range(len(x))) for x in per.values()) and max(map(len, per.values())) > 1
+
+
 # --- toxicity
 
 
