@@ -11,12 +11,15 @@ from ..session import checkpoint_folder
 from . import html_text, warc
 from .common import LOWER, UPPER, Query, table
 from .exact_dedup import mark_copies
+from .filter_audit import audit
 from .line_dedup import removed_lines
 from .mixing import MOST, SEED, SHARE, WEIGHTS, plan_mix
 from .multi_index import nearest
 from .parity_join import components
 from .pieces import encode
 from .pii import KINDS, find_personal_data
+from .sharding import shard_documents
+from .source_audit import divergence
 from .toxicity import fit, score
 
 QUERIES: dict[str, Query] = {}
@@ -253,3 +256,112 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document how many lines it has and which of them repeat an earlier line or nearly so."""
     found = removed_lines(table(spark, sf_dir, "documents"))
     return found.withColumn("removed", F.array_join(F.transform("removed", lambda x: x.cast("string")), ","))
+
+
+FILTERS_SQL = r"""
+    with d as (
+        select doc_id, coalesce(text, '') as body, coalesce(source, '') as part,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words
+        from documents
+    ),
+    firsts as (select body, min(doc_id) as first from d group by body),
+    l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+    facts as (
+        select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+               (len(words) < 200)::int
+               + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::int
+               + 4 * (100 * length(regexp_replace(d.body, '[^A-Z]+', '', 'g')) > 2 * length(d.body))::int
+               + 8 * regexp_matches(d.body, '[#$%&*|]')::int
+               + 16 * coalesce(d.doc_id > first, false)::int as failed
+        from d join firsts on d.body = firsts.body left join l on d.doc_id = l.doc_id
+    ),
+    leaves as (select part, failed, count(*) as n, sum(good) as good, sum(toxic) as toxic from facts group by part, failed),
+    x as (select unnest(['A', 'B', 'C', 'D', 'E']) as v),
+    orders as (
+        select a.v || b.v || c.v || d.v || e.v as filter_order from x a, x b, x c, x d, x e
+        where len(list_distinct([a.v, b.v, c.v, d.v, e.v])) = 5
+    ),
+    steps as (
+        select filter_order, step, 1 << (strpos('ABCDE', filter_order[step]) - 1) as bit,
+               list_sum([0] || list_transform(range(1, step), lambda i: 1 << (strpos('ABCDE', filter_order[i]) - 1))) as prefix
+        from orders, (select unnest(range(1, 6)) as step)
+    ),
+    counted as (
+        select part, filter_order, step::int as step, bit,
+               coalesce(sum(n) filter (where failed & (prefix | bit)::int = 0), 0)::bigint as kept,
+               coalesce(sum(n) filter (where failed & prefix::int = 0 and failed & bit <> 0), 0)::bigint as removed,
+               coalesce(sum(n) filter (where failed & prefix::int <> 0 and failed & bit <> 0), 0)::bigint as redundant,
+               coalesce(sum(n) filter (where failed = bit), 0)::bigint as unique_fails,
+               coalesce(sum(good) filter (where failed & prefix::int = 0 and failed & bit <> 0), 0)::bigint as good_lost,
+               coalesce(sum(toxic) filter (where failed & prefix::int = 0 and failed & bit <> 0), 0)::bigint as toxic_lost
+        from leaves, steps group by part, filter_order, step, bit
+    )
+    select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           (sum(removed) over (partition by part, bit))::bigint as shapley
+    from counted
+"""
+
+
+@query("op11_filter_audit", FILTERS_SQL)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters keep, remove and remove again in every order, for every source."""
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
+
+
+DIVERGENCE_SQL = rf"""
+    with d as (select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, {LOWERED} as body from documents),
+    t as (select doc_id, lang, source, unnest(regexp_extract_all(body, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+    kept as (select lang, term from t group by lang, term having count(distinct doc_id) >= 10),
+    v as (select lang, count(*) as v from kept group by lang),
+    g as (select distinct lang, source from d),
+    held as (select lang, source, term, count(*) as n from t semi join kept using (lang, term) group by lang, source, term),
+    full_counts as (
+        select g.lang, g.source, k.term, coalesce(h.n, 0)::hugeint as n
+        from g join kept k on g.lang = k.lang left join held h on h.lang = g.lang and h.source = g.source and h.term = k.term
+    ),
+    p as (
+        select lang, source, term, n, (1 + (1000000000::hugeint * (n + 2)) // (sum(n) over (partition by lang, source) + 2 * v))::hugeint as p
+        from full_counts join v using (lang)
+    ),
+    l as (select lang, term, sum(n)::hugeint as n from full_counts group by lang, term),
+    q as (select lang, term, (1 + (1000000000::hugeint * (n + 2)) // (sum(n) over (partition by lang) + 2 * v))::hugeint as q from l join v using (lang)),
+    sums as (
+        select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+        from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source
+    ),
+    pairs as (
+        select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0) as value
+        from g a join g b on a.lang = b.lang and a.source <> b.source
+        left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source
+    ),
+    terms as (
+        select p.lang, p.source, 'term' as part, p.term as item, ((p - q) * (p - q)) // (p + q) as value
+        from p join q on p.lang = q.lang and p.term = q.term where n > 0 and p > q
+    ),
+    ranked as (
+        select *, row_number() over (partition by lang, source, part order by value desc, item) as rank
+        from (select * from pairs union all select * from terms)
+    )
+    select lang, source, part, item, value::bigint as value, rank::int as rank from ranked where part = 'pair' or rank <= 10
+"""
+
+
+@query("op12_source_audit", DIVERGENCE_SQL)
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far sources of a language lie apart, and the terms that mark each of them."""
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+@query("op13_sharding")
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document; shards have near equal bytes and never divide equal texts."""
+    placed = shard_documents(table(spark, sf_dir, "documents"))
+    return placed.select(
+        F.col("id").alias("doc_id"),
+        "size",
+        F.col("crc32").cast("long").alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
