@@ -1,16 +1,18 @@
 """How far the sources of a language lie from each other and from the language, term by term.
 
-Chunk factorization: texts are cut at white space only. Chunks are counted per
-document, and documents of one group (language, source) are added up inside the task.
-Each globally distinct chunk is then tokenized once; its terms are joined back to the
-counts, which give the occurrences of every term in every group.
-
-A term is kept in a language if at least `min_docs` of its documents hold it. A document
-may hold a term by several chunks, so document counts of chunks do not add up to that
-of the term; but one chunk in `min_docs` documents settles a term, and so do chunks
-whose documents together are fewer. For the few terms in between every chunk is rare,
-and the rows that hold it were listed while it was counted: they are made distinct
-per term and counted. No document is read twice and nothing is estimated.
+Chunk factorization: texts are cut at white space only, and chunks are counted per document.
+
+1. Every document names its distinct chunks; tasks add up documents per (language, chunk). The
+   counts meet sorted by chunk, each globally distinct chunk is tokenized once, and
+   its terms are joined back to its counts.
+2. A term is kept in a language if at least `min_docs` of its documents hold it. A document
+   may hold a term by several chunks, so document counts of chunks do not add up to that
+   of the term; but one chunk in `min_docs` documents settles a term, and so do chunks
+   whose documents together are fewer. The rest are *open*, all their chunks rare.
+3. Occurrences are counted for chunks of kept and open terms only, and documents for those of
+   open ones. A bitmap of fixed size (one bit for each value of a hash of the chunk) lets tasks
+   leave out most other chunks; what slips through it falls to the join with the
+   terms. Distinct documents per open term then decide it. Nothing is estimated.
 
 All arithmetic is on integers. With p = 1 + floor(10^9 (count + 2) / (N + 2 V)), the distance of a
 pair sums f(p, q) = floor((p - q)^2 / (p + q)) over all kept terms. Terms that a group
@@ -26,7 +28,9 @@ chunks of one document and at most `HELD` counted ones.
 
 from __future__ import annotations
 
+import re
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,56 +39,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_folder, cut_lineage
-from .common import lower_ascii, quoted
+from .common import LOWER, UPPER, quoted
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCS = 10
 TOP = 10
-HELD = 200_000  # counted chunks that a task holds before it hands them on
+HELD = 400_000  # counted chunks that a task holds before it hands them on
+BITS = 1 << 22  # of the bitmap, half a megabyte
 SALTS = 32
 SCALE = 1_000_000_000
 
 
-def counted_chunks(docs: DataFrame, min_docs: int) -> DataFrame:
-    """lang, source, chunk, n, docs and, where fewer than `min_docs` were counted together, their row numbers."""
-
-    def batch_of(held: dict) -> pa.RecordBatch:
-        names, chunks, counts = [], [], []
-        for group, seen in held.items():
-            names.extend([group] * len(seen))
-            chunks.extend(seen)
-            counts.extend(seen.values())
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([g[0] for g in names], pa.string()),
-                pa.array([g[1] for g in names], pa.string()),
-                pa.array(chunks, pa.binary()).cast(pa.string()),
-                pa.array([c[0] for c in counts], pa.int64()),
-                pa.array([c[1] for c in counts], pa.int64()),
-                pa.array([c[2:] if c[1] < min_docs else [] for c in counts], pa.list_(pa.int64())),
-            ],
-            names=["lang", "source", "chunk", "n", "docs", "rows"],
-        )
+def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
+    df.write.parquet(f"{folder}/{name}")
+    return df.sparkSession.read.parquet(f"{folder}/{name}")
+
+
+def document_counts(docs: DataFrame) -> DataFrame:
+    """chunk, lang, docs: how many documents hold a chunk, added up as far as a task holds them."""
+
+    def batch_of(held: dict[str, dict[bytes, int]]) -> pa.RecordBatch:
+        langs = pa.array([lang for lang, seen in held.items() for _ in range(len(seen))], pa.string())
+        chunks = pa.array([c for seen in held.values() for c in seen], pa.binary()).cast(pa.string())
+        counts = pa.array([n for seen in held.values() for n in seen.values()], pa.int64())
+        return pa.RecordBatch.from_arrays([chunks, langs, counts], names=["chunk", "lang", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+        held: dict[str, dict[bytes, int]] = {}
         many = 0
         for batch in batches:
-            row_ids, langs, sources, texts = (batch.column(k) for k in range(4))
-            for k in range(batch.num_rows):
-                row = row_ids[k].as_py()
-                seen = held.setdefault((langs[k].as_py(), sources[k].as_py()), {})
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                seen = held.setdefault(lang, {})
                 before = len(seen)
                 # bytes.split cuts at exactly 0x20 and 0x09 to 0x0D
-                for chunk, n in Counter(texts[k].as_py().split()).items():
-                    entry = seen.get(chunk)
-                    if entry is None:
-                        seen[chunk] = [n, 1, row]
-                        continue
-                    entry[0] += n
-                    entry[1] += 1
-                    if entry[1] < min_docs:
-                        entry.append(row)
+                for chunk in set(text.as_py().split()):
+                    seen[chunk] = seen.get(chunk, 0) + 1
                 many += len(seen) - before
                 if many >= HELD:
                     yield batch_of(held)
@@ -92,36 +81,119 @@ def counted_chunks(docs: DataFrame, min_docs: int) -> DataFrame:
         if many:
             yield batch_of(held)
 
-    return docs.select("row", "lang", "source", F.col("text").cast("binary")).mapInArrow(
-        run, "lang string, source string, chunk string, n long, docs long, rows array<long>"
-    )
+    return docs.select("lang", F.col("text").cast("binary")).mapInArrow(run, "chunk string, lang string, docs long")
 
 
-def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
-    df.write.parquet(f"{folder}/{name}")
-    return df.sparkSession.read.parquet(f"{folder}/{name}")
+def tokenized(counts: DataFrame) -> DataFrame:
+    """lang, chunk, docs, terms: every distinct chunk tokenized once.
+
+    `terms` is null where the chunk is its own only term; chunks without terms are left out.
+    """
+    low, term = str.maketrans(UPPER, LOWER), re.compile(TERM)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current: str | None = None
+        terms: list[str] = []
+        totals: dict[str, int] = {}
+        out: list[tuple] = []
+
+        def close() -> None:
+            if terms:
+                shown = None if len(terms) == 1 and terms[0] == current else terms
+                out.extend((lang, current, n, shown) for lang, n in totals.items())
+
+        def flushed() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [[], [], [], []]
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()))
+            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["lang", "chunk", "docs", "terms"])
+            out.clear()
+            return made
 
-def dictionary(chunks: DataFrame) -> DataFrame:
-    """chunk, term, times: every distinct chunk tokenized once."""
-    distinct = chunks.select("chunk").distinct()
-    terms = distinct.select("chunk", F.explode(F.regexp_extract_all(lower_ascii(F.col("chunk")), F.lit(TERM), F.lit(0))).alias("term"))
-    return terms.groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("times"))
+        for batch in batches:
+            for chunk, lang, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if chunk != current:
+                    close()
+                    current, totals = chunk, {}
+                    terms = term.findall(chunk.translate(low))
+                totals[lang] = totals.get(lang, 0) + n
+            yield flushed()
+        close()
+        yield flushed()
+
+    met = counts.repartition("chunk").sortWithinPartitions("chunk")
+    return met.mapInArrow(run, "lang string, chunk string, docs long, terms array<string>")
+
+
+def term_bounds(chunks: DataFrame, min_docs: int) -> DataFrame:
+    """lang, term, open: terms that may be in `min_docs` documents; those not settled yet are open."""
+    terms = F.array_distinct(F.coalesce("terms", F.array("chunk")))
+    rows = chunks.select("lang", F.explode(terms).alias("term"), "docs")
+    bounds = rows.groupBy("lang", "term").agg(F.max("docs").alias("least"), F.sum("docs").alias("most"))
+    return bounds.where(F.col("most") >= min_docs).select("lang", "term", (F.col("least") < min_docs).alias("open"))
+
+
+def bitmap(chunks: DataFrame) -> bytes:
+    """A bit for every value of the chunks' hash; BITS / 8 bytes in the driver, whatever their number."""
+    place = F.crc32(F.col("chunk").cast("binary")) % BITS + 1
+    rows = chunks.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    bits = bytearray(BITS // 8)
+    for row in rows.collect():
+        at = (row.part - 1) * 4096
+        bits[at : at + 4096] = row.bits
+    return bytes(bits)
+
+
+def counted_chunks(docs: DataFrame, wanted: bytes, listed: bytes) -> DataFrame:
+    """lang, source, chunk, n, row: occurrences per group of chunks that `wanted` lets through (row null),
+    and a row for every document with a chunk that `listed` lets through (n null)."""
+
+    def batch_of(held: dict, pairs: list) -> pa.RecordBatch:
+        rows = [(*group, chunk, n, None) for group, seen in held.items() for chunk, n in seen.items()] + pairs
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
+        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        arrays[2] = arrays[2].cast(pa.string())
+        return pa.RecordBatch.from_arrays(arrays, names=["lang", "source", "chunk", "n", "row"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], dict[bytes, int]] = {}
+        pairs: list[tuple] = []
+        many, crc = 0, zlib.crc32
+        for batch in batches:
+            for row, lang, source, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                seen = held.setdefault((lang, source), {})
+                before = len(seen)
+                for chunk, n in Counter(text.as_py().split()).items():
+                    at = crc(chunk) % BITS
+                    if wanted[at >> 3] >> (at & 7) & 1:
+                        seen[chunk] = seen.get(chunk, 0) + n
+                        if listed[at >> 3] >> (at & 7) & 1:
+                            pairs.append((lang, source, chunk, None, row))
+                many += len(seen) - before
+                if many + len(pairs) >= HELD:
+                    yield batch_of(held, pairs)
+                    held, pairs, many = {}, [], 0
+        yield batch_of(held, pairs)
+
+    rows = docs.select("row", "lang", "source", F.col("text").cast("binary"))
+    return rows.mapInArrow(run, "lang string, source string, chunk string, n long, row long")
 
-def kept_terms(parts: DataFrame, terms: DataFrame, min_docs: int) -> DataFrame:
-    """lang, term: terms in at least `min_docs` documents of the language."""
-    by_chunk = terms.groupBy("lang", "chunk", "term").agg(F.sum("docs").alias("docs"))
-    bounds = by_chunk.groupBy("lang", "term").agg(F.max("docs").alias("least"), F.sum("docs").alias("most"))
-    bounds = cut_lineage(bounds.where(F.col("most") >= min_docs))
-    settled = bounds.where(F.col("least") >= min_docs).select("lang", "term")
-    open_terms = bounds.where(F.col("least") < min_docs).select("lang", "term")
-    # every chunk of an open term is in fewer than min_docs documents, so each of its parts lists all its rows
-    open_chunks = terms.select("lang", "chunk", "term").join(open_terms, ["lang", "term"]).distinct()
-    listed = parts.where(F.size("rows") > 0).select("lang", "chunk", "rows").join(open_chunks, ["lang", "chunk"])
-    rows = listed.select("lang", "term", F.explode("rows").alias("row")).distinct()
-    counted = rows.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
-    return settled.unionByName(counted.select("lang", "term"))
+
+def occurrences(docs: DataFrame, chunks: DataFrame, min_docs: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The kept terms (lang, term) and their occurrences (lang, source, term, n)."""
+    bounds = stored(term_bounds(chunks, min_docs), folder, "bounds")
+    terms = chunks.select("lang", "chunk", F.explode(F.coalesce("terms", F.array("chunk"))).alias("term"))
+    terms = terms.join(bounds, ["lang", "term"]).groupBy("lang", "chunk", "term", "open").agg(F.count(F.lit(1)).alias("times"))
+    terms = stored(terms, folder, "terms")
+    parts = stored(counted_chunks(docs, bitmap(terms), bitmap(terms.where("open"))), folder, "parts")
+    # a chunk of an open term is in fewer than min_docs documents of its language
+    listed = parts.where("row is not null").select("lang", "chunk", "row").join(terms.where("open"), ["lang", "chunk"])
+    decided = listed.select("lang", "term", "row").distinct().groupBy("lang", "term").agg(F.count(F.lit(1)).alias("docs"))
+    decided = decided.where(F.col("docs") >= min_docs).select("lang", "term")
+    kept = stored(bounds.where("not open").select("lang", "term").unionByName(decided), folder, "kept")
+    counts = parts.where("row is null").groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"))
+    held = counts.join(terms, ["lang", "chunk"]).groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
+    return kept, stored(held.join(kept, ["lang", "term"], "left_semi"), folder, "held")
 
 
 def share(count: Column, total: Column) -> Column:
@@ -174,14 +246,8 @@ def divergence(
         F.monotonically_increasing_id().alias("row"), named(lang_col).alias("lang"), named(source_col).alias("source"), named(text_col).alias("text")
     )
     folder = f"{checkpoint_folder(docs.sparkSession)}/chunks-{uuid.uuid4().hex}"
-    parts = stored(counted_chunks(rows, min_docs), folder, "parts")
-    chunks = parts.groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    chunks = stored(chunks, folder, "chunks")
-    terms = chunks.join(dictionary(chunks), "chunk").select("lang", "source", "chunk", "term", (F.col("n") * F.col("times")).alias("n"), "docs")
-    terms = stored(terms, folder, "terms")
-    kept = cut_lineage(kept_terms(parts, terms, min_docs))
-    held = terms.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).join(kept, ["lang", "term"])
-    held = stored(held, folder, "held")
+    chunks = stored(tokenized(document_counts(rows)), folder, "chunks")
+    kept, held = occurrences(rows, chunks, min_docs, folder)
 
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
     of_group = held.groupBy("lang", "source").agg(F.sum("n").alias("total"))

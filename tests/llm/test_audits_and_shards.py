@@ -169,6 +169,11 @@ def test_source_audit_terms_of_several_chunks(spark, held, monkeypatch):
     rows.append((301, "solo\x1cab\x85cd\xa0ef " * 3, "en", "only"))
     docs = spark.createDataFrame(rows, DOC).repartition(3)
     monkeypatch.setattr(source_audit, "HELD", held)
+    if held == 50:  # every bit is set, so all chunks slip through
+        monkeypatch.setattr(source_audit, "BITS", 32768)
+        full = source_audit.bitmap(spark.range(1_000_000).select(F.md5(F.col("id").cast("string")).alias("chunk")))
+        assert full == b"\xff" * 4096
+        monkeypatch.setattr(source_audit, "bitmap", lambda chunks: full)
     assert divergence_rows(source_audit.divergence(docs)) == diverging(docs.collect())
 
 
