@@ -80,6 +80,18 @@ FURNITURE = (
     ),
 )
 
+#: References with more digits than any code point has; only leading zeros make one of them valid.
+LONG_REFERENCE = re.compile(r"&#(?:([0-9]{8,})|[xX]([0-9a-fA-F]{7,}));?")
+IN_HEAD = {"head", "html", "title", "meta", "link", "script", "style", "base", "noscript", "template"}
+
+
+def short_reference(m: re.Match) -> str:
+    digits = (m[1] or m[2]).lstrip("0") or "0"
+    if len(digits) > 7:
+        return "\ufffd"
+    return f"&#{'' if m[1] else 'x'}{digits};"
+
+
 Block = tuple[str, int, int, tuple]  # text, words, linked words, ancestors
 
 
@@ -94,7 +106,7 @@ def blocks(page: str) -> list[Block]:
     def close() -> None:
         nonlocal link_words
         if text:
-            words = html.unescape("".join(text)).split()
+            words = html.unescape(LONG_REFERENCE.sub(short_reference, "".join(text))).split()
             if words:
                 out.append((" ".join(words), len(words), link_words, path))
             text.clear()
@@ -116,6 +128,8 @@ def blocks(page: str) -> list[Block]:
         if not m[2]:
             continue
         tag = m[2].lower()
+        if in_head and not m[1] and tag not in IN_HEAD:
+            in_head = False  # both head tags may be left out
         if tag == "br":
             text.append(" ")
             continue

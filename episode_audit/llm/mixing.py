@@ -124,7 +124,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     placed = placed.withColumn("full", full)
     rest = F.col("target") - F.col("full") * F.col("source_size")
-    placed = placed.withColumn("copies", F.col("full") + F.when((2 * F.col("before") + F.col("size")) <= 2 * rest, 1).otherwise(0))
+    placed = placed.withColumn("copies", F.col("full") + F.when((rest > 0) & (2 * F.col("before") + F.col("size") <= 2 * rest), 1).otherwise(0))
     middle = F.col("before") + F.col("size") / 2
 
     def position(copy: Column) -> Column:

@@ -42,7 +42,8 @@ from .common import quoted
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+$")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A run of digits is tried once, from its start: a match from inside it would need the same dot behind it.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -125,10 +126,15 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def at_most_255(digits: str) -> bool:
+    short = digits.lstrip("0")
+    return len(short) <= 3 and int(short or "0") <= 255
+
+
 def detect(text: str) -> list[tuple[int, int, int]]:
     """(kind number, start, end) of all base identifiers, by kind, then start."""
     out = [(0, a, b) for a, b in emails(text)] if "@" in text else []
-    out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(at_most_255(p) for p in m.group().split("."))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16:
             digits = m.group().replace(" ", "").replace("-", "")

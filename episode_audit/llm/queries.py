@@ -92,7 +92,7 @@ MIX_SQL = rf"""
         from d join t on d.source is not distinct from t.source
     ),
     k as (
-        select *, full_passes + case when 2 * before + size <= 2 * (target - full_passes * source_size) then 1 else 0 end as copies
+        select *, full_passes + case when target > full_passes * source_size and 2 * before + size <= 2 * (target - full_passes * source_size) then 1 else 0 end as copies
         from c
     )
     select doc_id, size::bigint as size, source_size, target, (copies * size)::bigint as taken, copies::int as copies from k

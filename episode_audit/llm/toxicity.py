@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, quoted
@@ -39,8 +39,7 @@ BUCKETS, WIDTH = 1 << 18, 8
 SHORTEST_GRAM, LONGEST_GRAM = 3, 6
 PASSAGE = 6
 POSITIVES, NEGATIVES, LONGEST = 1500, 2500, 30_000
-EPOCHS, BATCH = 6, 512
-FEW = 1000  # samples up to this size are gone through three times as often
+STEPS, BATCH = 1600, 512  # gradient steps at least, whatever the size of the sample: whole rounds through it
 VECTOR_RATE, WEIGHT_RATE = 0.5, 0.05
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’…–—¿¡"
 
@@ -178,7 +177,8 @@ def train(texts: pa.Array, labels: list[int], seed: int = 7) -> Model:
     gram_start = np.cumsum(gram_count) - gram_count
     row, start, size = passages(counts, PASSAGE // 2)
     label = np.asarray(labels, dtype=np.int64)[row]
-    for epoch in range(EPOCHS if len(texts) > FEW else 3 * EPOCHS):
+    epoch = steps = 0
+    while steps < STEPS:
         bad = np.flatnonzero(label == 1)
         if epoch:
             effect, _ = model.effect()
@@ -198,6 +198,7 @@ def train(texts: pa.Array, labels: list[int], seed: int = 7) -> Model:
         for k in range(0, len(chosen), BATCH):
             c = chosen[k : k + BATCH]
             model.step(ids[ragged(start[c], size[c])], size[c], label[c], weigh[c], gram_of, gram_start, gram_count)
+        epoch, steps = epoch + 1, steps + max(1, -(-len(chosen) // BATCH))
     return model
 
 
@@ -217,11 +218,23 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float] | None:
     """Effects of the buckets and the bias; None without labels of both classes."""
-    rows = training_rows(docs, labels, id_col, text_col).toArrow().sort_by("id")
-    known = rows.column("label").to_pylist()
-    if set(known) != {0, 1}:
-        return None
-    return train(rows.column("text").combine_chunks(), known).effect()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).sort_by("order")
+        known = rows.column("label").to_pylist()
+        if set(known) == {0, 1}:
+            effect, bias = train(rows.column("text").combine_chunks(), known).effect()
+            yield pa.RecordBatch.from_arrays([pa.array([effect.astype(np.float32).tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["effect", "bias"])
+
+    sample = training_rows(docs, labels, id_col, text_col)
+    order = F.row_number().over(Window.orderBy("id")).cast("long")  # of a few thousand rows
+    rows = sample.select(order.alias("order"), F.col("label").cast("int").alias("label"), F.col("text").cast("string").alias("text"))
+    # one task of an executor trains on the bounded sample; the driver sees the effects alone
+    found = rows.coalesce(1).mapInArrow(run, "effect binary, bias double").first()
+    return found and (np.frombuffer(found.effect, dtype=np.float32), found.bias)
 
 
 def scores_of(texts: pa.Array, effect: np.ndarray, bias: float) -> np.ndarray:

@@ -157,8 +157,8 @@ def write_archives(
     return rows.mapInArrow(run, "records long").agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
 
 
-def frames(data: bytes) -> Iterator[bytes]:
-    """Every record of an archive, decoded with the dictionary of the leading frame."""
+def frames(data: bytes) -> Iterator[bytes | Exception]:
+    """Every record of an archive, decoded with the dictionary of the leading frame; a fault in place of a broken one."""
     import zstandard
 
     at, words = 0, None
@@ -180,20 +180,36 @@ def frames(data: bytes) -> Iterator[bytes]:
         if int.from_bytes(data[at : at + 4], "little") in SKIPPABLE:
             at += 8 + int.from_bytes(data[at + 4 : at + 8], "little")
             continue
-        frame, out = decoder.decompressobj(), []
-        while not frame.eof:
-            piece = data[at : at + CHUNK]
-            if not piece:
-                raise ValueError("the last frame is cut off")
-            out.append(frame.decompress(piece))
-            at += len(piece)
-        at -= len(frame.unused_data)
+        frame, out, start = decoder.decompressobj(), [], at
+        try:
+            while not frame.eof:
+                piece = data[at : at + CHUNK]
+                if not piece:
+                    raise ValueError("the last frame is cut off")
+                out.append(frame.decompress(piece))
+                at += len(piece)
+            at -= len(frame.unused_data)
+        except (ValueError, zstandard.ZstdError) as fault:
+            # a broken frame is one broken record: go on where the next frame begins
+            yield fault
+            after = data.find(FRAME_MAGIC, start + 4)
+            at = after if after >= 0 else len(data)
+            continue
         yield b"".join(out)
 
 
+def number_of(digits: str | bytes) -> int | None:
+    """A number of ASCII digits that fits 63 bits, else None."""
+    if not digits.isascii() or not digits.isdigit() or len(digits.lstrip("0" if isinstance(digits, str) else b"0")) > 19:
+        return None
+    number = int(digits[-20:])
+    return number if number < 1 << 63 else None
+
+
 def page_of(field: str | None) -> int | None:
     found = (field or "").strip("<>").removeprefix(PAGE_URN)
-    return int(found) if found.lstrip("-").isdigit() else None
+    number = number_of(found.removeprefix("-"))
+    return None if number is None else -number if found.startswith("-") else number
 
 
 def parse(raw: bytes) -> dict:
@@ -214,14 +230,14 @@ def parse(raw: bytes) -> dict:
         return out | {"problem": f"no {missing[0]}"}
     out |= {"page_id": page_of(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "record_type": fields["warc-type"]}
     out |= {"payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:"), "refers_to": page_of(fields.get("warc-refers-to"))}
-    length = fields["content-length"]
-    if not length.isdigit() or len(rest) != int(length) + 4 or rest[-4:] != b"\r\n\r\n":
+    length = number_of(fields["content-length"])
+    if length is None or len(rest) != length + 4 or rest[-4:] != b"\r\n\r\n":
         return out | {"problem": "the record's length is not what it says"}
     http, gap, payload = rest[:-4].partition(b"\r\n\r\n")
     stated = [v.strip() for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")[1:]) if k.strip().lower() == b"content-length"]
-    if not gap or len(stated) != 1 or not stated[0].isdigit():
+    if not gap or len(stated) != 1 or number_of(stated[0]) is None:
         return out | {"problem": "no HTTP length"}
-    out["payload_bytes"] = int(stated[0])
+    out["payload_bytes"] = number_of(stated[0])
     if out["record_type"] == "response":
         out["payload"] = payload
         if len(payload) != out["payload_bytes"]:
@@ -246,6 +262,9 @@ def read_archives(spark: SparkSession, address: str, payloads: bool = True) -> D
                 rows, size = [], 0
                 try:
                     for raw in frames(data.as_py()):
+                        if isinstance(raw, Exception):
+                            rows.append({"problem": f"{path}: {raw}"})
+                            continue
                         found = parse(raw)
                         rows.append({k: found[k] for k, _ in kinds})
                         size += len(raw)
