@@ -2,17 +2,18 @@
 
 Chunk factorization: texts are cut at white space only, and chunks are counted per document.
 
-1. Every document names its distinct chunks; tasks add up documents per (language, chunk). The
-   counts meet sorted by chunk, each globally distinct chunk is tokenized once, and
-   its terms are joined back to its counts.
+1. Documents are range-partitioned by (language, source), so a task has few groups, a hot
+   group many tasks, and tasks add up most of the counts of their documents. What is
+   left meets sorted by chunk: each globally distinct chunk is tokenized once, and its
+   terms are joined back to its counts, occurrences and documents of every group.
 2. A term is kept in a language if at least `min_docs` of its documents hold it. A document
    may hold a term by several chunks, so document counts of chunks do not add up to that
    of the term; but one chunk in `min_docs` documents settles a term, and so do chunks
    whose documents together are fewer. The rest are *open*, all their chunks rare.
-3. Occurrences are counted for chunks of kept and open terms only, and documents for those of
-   open ones. A bitmap of fixed size (one bit for each value of a hash of the chunk) lets tasks
-   leave out most other chunks; what slips through it falls to the join with the
-   terms. Distinct documents per open term then decide it. Nothing is estimated.
+3. Documents that hold a chunk of an open term are listed in a second scan. A bitmap of fixed size
+   (one bit for each value of a hash of the chunk) lets tasks leave out most other
+   chunks; what slips through it falls to the join with the terms. Distinct documents per
+   open term then decide it. Nothing is estimated.
 
 All arithmetic is on integers. With p = 1 + floor(10^9 (count + 2) / (N + 2 V)), the distance of a
 pair sums f(p, q) = floor((p - q)^2 / (p + q)) over all kept terms. Terms that a group
@@ -23,7 +24,7 @@ term, whose groups are the sources of a language, not documents).
 Null texts, languages and sources count as empty. Every row is a document; rows that
 repeat count again. A group without terms still has its distances. An empty table gives
 none. Columns beside text, language and source are never looked at. A task holds the
-chunks of one document and at most `HELD` counted ones.
+chunks of one document and some `HELD` counted ones.
 """
 
 from __future__ import annotations
@@ -34,7 +35,9 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,9 +46,11 @@ from .common import LOWER, UPPER, quoted
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCS = 10
+COMMON = 100  # documents from which on a chunk is never looked up again; min_docs is this at most
 TOP = 10
 HELD = 400_000  # counted chunks that a task holds before it hands them on
-BITS = 1 << 22  # of the bitmap, half a megabyte
+BITS = 1 << 25  # of the bitmap, four megabytes
+A_DOCUMENT = 1 << 40  # added to an occurrence count for each document, in one number
 SALTS = 32
 SCALE = 1_000_000_000
 
@@ -55,25 +60,28 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(f"{folder}/{name}")
 
 
-def document_counts(docs: DataFrame) -> DataFrame:
-    """chunk, lang, docs: how many documents hold a chunk, added up as far as a task holds them."""
+def group_counts(docs: DataFrame) -> DataFrame:
+    """chunk, lang, source, n, docs: occurrences and documents of chunks, added up as far as a task holds them."""
 
-    def batch_of(held: dict[str, dict[bytes, int]]) -> pa.RecordBatch:
-        langs = pa.array([lang for lang, seen in held.items() for _ in range(len(seen))], pa.string())
+    def batch_of(held: dict[tuple[str, str], dict[bytes, int]]) -> pa.RecordBatch:
+        sizes = [len(seen) for seen in held.values()]
         chunks = pa.array([c for seen in held.values() for c in seen], pa.binary()).cast(pa.string())
-        counts = pa.array([n for seen in held.values() for n in seen.values()], pa.int64())
-        return pa.RecordBatch.from_arrays([chunks, langs, counts], names=["chunk", "lang", "docs"])
+        counts = np.array([n for seen in held.values() for n in seen.values()], dtype=np.int64)
+        group = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+        langs, sources = (pa.array([g[k] for g in held], pa.string()).take(group) for k in (0, 1))
+        columns = [chunks, langs, sources, pa.array(counts % A_DOCUMENT), pa.array(counts // A_DOCUMENT)]
+        return pa.RecordBatch.from_arrays(columns, names=["chunk", "lang", "source", "n", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, dict[bytes, int]] = {}
+        held: dict[tuple[str, str], dict[bytes, int]] = {}
         many = 0
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                seen = held.setdefault(lang, {})
+            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                seen = held.setdefault((lang, source), {})
                 before = len(seen)
                 # bytes.split cuts at exactly 0x20 and 0x09 to 0x0D
-                for chunk in set(text.as_py().split()):
-                    seen[chunk] = seen.get(chunk, 0) + 1
+                for chunk, n in Counter(text.as_py().split()).items():
+                    seen[chunk] = seen.get(chunk, 0) + n + A_DOCUMENT
                 many += len(seen) - before
                 if many >= HELD:
                     yield batch_of(held)
@@ -81,54 +89,81 @@ def document_counts(docs: DataFrame) -> DataFrame:
         if many:
             yield batch_of(held)
 
-    return docs.select("lang", F.col("text").cast("binary")).mapInArrow(run, "chunk string, lang string, docs long")
+    dealt = docs.repartitionByRange("lang", "source", "row").select("lang", "source", F.col("text").cast("binary"))
+    return dealt.mapInArrow(run, "chunk string, lang string, source string, n long, docs long")
+
+
+def starts_of(*columns: pa.Array) -> np.ndarray:
+    """Where a run of equal values begins, in rows sorted by the columns."""
+    new = np.zeros(len(columns[0]), dtype=bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
 
 
 def tokenized(counts: DataFrame) -> DataFrame:
-    """lang, chunk, docs, terms: every distinct chunk tokenized once.
+    """lang, source, chunk, term, n, docs: every distinct chunk tokenized once, its terms joined to its counts.
 
-    `terms` is null where the chunk is its own only term; chunks without terms are left out.
+    n counts the term. `docs` is the number of documents of the language that hold the chunk, in the row of the
+    first source alone, null in the others; `chunk` is null where that is `COMMON` or more.
     """
     low, term = str.maketrans(UPPER, LOWER), re.compile(TERM)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current: str | None = None
-        terms: list[str] = []
-        totals: dict[str, int] = {}
-        out: list[tuple] = []
-
-        def close() -> None:
-            if terms:
-                shown = None if len(terms) == 1 and terms[0] == current else terms
-                out.extend((lang, current, n, shown) for lang, n in totals.items())
-
-        def flushed() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [[], [], [], []]
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()))
-            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["lang", "chunk", "docs", "terms"])
-            out.clear()
-            return made
+    def made_of(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        chunk, lang, source, n, docs = (rows.column(k).combine_chunks() for k in range(5))
+        # rows of one (chunk, language, source) become one
+        at = starts_of(chunk, lang, source)
+        n, docs = (np.add.reduceat(c.to_numpy(), at) if len(at) else c.to_numpy() for c in (n, docs))
+        chunk, lang, source = (c.take(pa.array(at)) for c in (chunk, lang, source))
+        of_lang = starts_of(chunk, lang)
+        in_lang = np.add.reduceat(docs, of_lang) if len(of_lang) else docs
+        first = starts_of(chunk)
+        found = [Counter(term.findall(c.translate(low))) for c in chunk.take(pa.array(first)).to_pylist()]
+        flat = pa.array([t for f in found for t in f], pa.string())
+        times = np.array([k for f in found for k in f.values()], dtype=np.int64)
+        sizes = np.array([len(f) for f in found], dtype=np.int64)
+        begin = np.cumsum(sizes) - sizes
+        # every row once for each term of its chunk
+        nth = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(chunk))))
+        row = np.repeat(np.arange(len(chunk)), sizes[nth])
+        inside = np.arange(len(row)) - np.repeat(np.cumsum(sizes[nth]) - sizes[nth], sizes[nth])
+        word = begin[nth[row]] + inside
+        total = np.repeat(in_lang, np.diff(np.append(of_lang, len(chunk))))
+        leading = np.zeros(len(chunk), dtype=bool)
+        leading[of_lang] = True
+        shown = pc.if_else(pa.array(total >= COMMON), pa.scalar(None, pa.string()), chunk)
+        take = pa.array(row)
+        columns = [lang.take(take), source.take(take), shown.take(take), flat.take(pa.array(word)), pa.array(n[row] * times[word])]
+        columns.append(pa.array(total[row], mask=~leading[row]))
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "chunk", "term", "n", "docs"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for chunk, lang, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if chunk != current:
-                    close()
-                    current, totals = chunk, {}
-                    terms = term.findall(chunk.translate(low))
-                totals[lang] = totals.get(lang, 0) + n
-            yield flushed()
-        close()
-        yield flushed()
-
-    met = counts.repartition("chunk").sortWithinPartitions("chunk")
-    return met.mapInArrow(run, "lang string, chunk string, docs long, terms array<string>")
-
-
-def term_bounds(chunks: DataFrame, min_docs: int) -> DataFrame:
+            if not batch.num_rows:
+                continue
+            # the last chunk of a batch may go on in the next one
+            end = batch.num_rows - 1
+            last = batch.column(0)[end]
+            while end and batch.column(0)[end - 1] == last:
+                end -= 1
+            if end or held and held[-1].column(0)[0] != last:
+                yield made_of(pa.Table.from_batches([*held, batch.slice(0, end)]))
+                held = [batch.slice(end)]
+            else:
+                held.append(batch)
+        if held:
+            yield made_of(pa.Table.from_batches(held))
+
+    met = counts.repartition("chunk").sortWithinPartitions("chunk", "lang", "source")
+    return met.mapInArrow(run, "lang string, source string, chunk string, term string, n long, docs long")
+
+
+def term_bounds(terms: DataFrame, min_docs: int) -> DataFrame:
     """lang, term, open: terms that may be in `min_docs` documents; those not settled yet are open."""
-    terms = F.array_distinct(F.coalesce("terms", F.array("chunk")))
-    rows = chunks.select("lang", F.explode(terms).alias("term"), "docs")
-    bounds = rows.groupBy("lang", "term").agg(F.max("docs").alias("least"), F.sum("docs").alias("most"))
+    bounds = terms.groupBy("lang", "term").agg(F.max("docs").alias("least"), F.sum("docs").alias("most"))
     return bounds.where(F.col("most") >= min_docs).select("lang", "term", (F.col("least") < min_docs).alias("open"))
 
 
@@ -143,57 +178,36 @@ def bitmap(chunks: DataFrame) -> bytes:
     return bytes(bits)
 
 
-def counted_chunks(docs: DataFrame, wanted: bytes, listed: bytes) -> DataFrame:
-    """lang, source, chunk, n, row: occurrences per group of chunks that `wanted` lets through (row null),
-    and a row for every document with a chunk that `listed` lets through (n null)."""
-
-    def batch_of(held: dict, pairs: list) -> pa.RecordBatch:
-        rows = [(*group, chunk, n, None) for group, seen in held.items() for chunk, n in seen.items()] + pairs
-        columns = list(zip(*rows, strict=True)) or [[]] * 5
-        kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
-        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-        arrays[2] = arrays[2].cast(pa.string())
-        return pa.RecordBatch.from_arrays(arrays, names=["lang", "source", "chunk", "n", "row"])
+def listed_documents(docs: DataFrame, wanted: bytes) -> DataFrame:
+    """lang, chunk, row for every document with a chunk that the bitmap lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], dict[bytes, int]] = {}
-        pairs: list[tuple] = []
-        many, crc = 0, zlib.crc32
+        crc = zlib.crc32
         for batch in batches:
-            for row, lang, source, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
-                seen = held.setdefault((lang, source), {})
-                before = len(seen)
-                for chunk, n in Counter(text.as_py().split()).items():
-                    at = crc(chunk) % BITS
-                    if wanted[at >> 3] >> (at & 7) & 1:
-                        seen[chunk] = seen.get(chunk, 0) + n
-                        if listed[at >> 3] >> (at & 7) & 1:
-                            pairs.append((lang, source, chunk, None, row))
-                many += len(seen) - before
-                if many + len(pairs) >= HELD:
-                    yield batch_of(held, pairs)
-                    held, pairs, many = {}, [], 0
-        yield batch_of(held, pairs)
+            langs, chunks, rows = [], [], []
+            for row, lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                there = [c for c in set(text.as_py().split()) if wanted[(at := crc(c) % BITS) >> 3] >> (at & 7) & 1]
+                chunks += there
+                langs += [lang] * len(there)
+                rows += [row] * len(there)
+            columns = [pa.array(langs, pa.string()), pa.array(chunks, pa.binary()).cast(pa.string()), pa.array(rows, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "chunk", "row"])
 
-    rows = docs.select("row", "lang", "source", F.col("text").cast("binary"))
-    return rows.mapInArrow(run, "lang string, source string, chunk string, n long, row long")
+    return docs.select("row", "lang", F.col("text").cast("binary")).mapInArrow(run, "lang string, chunk string, row long")
 
 
-def occurrences(docs: DataFrame, chunks: DataFrame, min_docs: int, folder: str) -> tuple[DataFrame, DataFrame]:
+def kept_counts(docs: DataFrame, terms: DataFrame, min_docs: int, folder: str) -> tuple[DataFrame, DataFrame]:
     """The kept terms (lang, term) and their occurrences (lang, source, term, n)."""
-    bounds = stored(term_bounds(chunks, min_docs), folder, "bounds")
-    terms = chunks.select("lang", "chunk", F.explode(F.coalesce("terms", F.array("chunk"))).alias("term"))
-    terms = terms.join(bounds, ["lang", "term"]).groupBy("lang", "chunk", "term", "open").agg(F.count(F.lit(1)).alias("times"))
-    terms = stored(terms, folder, "terms")
-    parts = stored(counted_chunks(docs, bitmap(terms), bitmap(terms.where("open"))), folder, "parts")
+    bounds = stored(term_bounds(terms, min_docs), folder, "bounds")
     # a chunk of an open term is in fewer than min_docs documents of its language
-    listed = parts.where("row is not null").select("lang", "chunk", "row").join(terms.where("open"), ["lang", "chunk"])
+    rare = terms.where("docs is not null and chunk is not null").select("lang", "chunk", "term")
+    open_chunks = stored(rare.join(bounds.where("open").select("lang", "term"), ["lang", "term"]), folder, "open")
+    listed = listed_documents(docs, bitmap(open_chunks)).join(open_chunks, ["lang", "chunk"])
     decided = listed.select("lang", "term", "row").distinct().groupBy("lang", "term").agg(F.count(F.lit(1)).alias("docs"))
     decided = decided.where(F.col("docs") >= min_docs).select("lang", "term")
     kept = stored(bounds.where("not open").select("lang", "term").unionByName(decided), folder, "kept")
-    counts = parts.where("row is null").groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"))
-    held = counts.join(terms, ["lang", "chunk"]).groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
-    return kept, stored(held.join(kept, ["lang", "term"], "left_semi"), folder, "held")
+    held = terms.select("lang", "source", "term", "n").join(kept, ["lang", "term"], "left_semi")
+    return kept, stored(held.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), folder, "held")
 
 
 def share(count: Column, total: Column) -> Column:
@@ -246,8 +260,10 @@ def divergence(
         F.monotonically_increasing_id().alias("row"), named(lang_col).alias("lang"), named(source_col).alias("source"), named(text_col).alias("text")
     )
     folder = f"{checkpoint_folder(docs.sparkSession)}/chunks-{uuid.uuid4().hex}"
-    chunks = stored(tokenized(document_counts(rows)), folder, "chunks")
-    kept, held = occurrences(rows, chunks, min_docs, folder)
+    if min_docs > COMMON:
+        raise ValueError(f"min_docs is {COMMON} at most")
+    terms = stored(tokenized(group_counts(rows)), folder, "terms")
+    kept, held = kept_counts(rows, terms, min_docs, folder)
 
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
     of_group = held.groupBy("lang", "source").agg(F.sum("n").alias("total"))
