@@ -27,6 +27,28 @@ CHECK_SETTINGS = {
     "sim_signature.v1": {"enabled": True, "blocking": False, "emit_fail": False},
 }
 
+# --- Fixed values: keys of the closed manifest shapes ----------------------------
+CAPTURE_SHAPE = {
+    "v": None, "kind": None, "org_id": None, "dataset_id": None, "source": None, "layout": None, "embodiment": None, "rate_hz": None,
+    "duration_ms": None, "captured_at": None, "channels": [{"name": None, "dtype": None, "shape": None, "hz": None, "unit": None}],
+    "files": [{"path": None, "bytes": None, "hash": None}], "range": {"episode_index": None, "frames": None, "video": "free"},
+    "payload_hash": None, "consent_commitment": None, "terms_hash": None, "scope_bits": None, "task": {"instruction": None, "task_id": None},
+    "outcome": {"success": None}, "sim": {"task_spec_hash": None, "world_seed": None}, "signature": {"alg": None, "key_id": None, "sig": None},
+}
+CORPUS_SHAPE = {
+    "v": None, "kind": None, "org_id": None, "title": None, "episodes": None, "corpus_root": None, "episode_count": None, "terms_hash": None,
+    "task_id": None, "sources": None, "filters": {"min_badges": None, "exclude_failed_checks": None}, "sealed_at": None,
+}
+
+# --- Fixed values: thresholds that a claim's detail names -------------------------
+CHECK_THRESHOLDS = {
+    "timing.v1": {"period_tolerance_fraction": 0.25, "min_within_tolerance_fraction": 0.99, "max_gap_fraction": 5, "frame_count_tolerance": 2},
+    "kinematics.v1": {"joint_limit_tolerance_deg": 1, "max_accel_rad_s2": 50},
+    "dedup.v1": {"T_exact": 0.02, "T_near": 0.05},
+    "sensor_consistency.v1": {"rho_pass": 0.4, "rho_fail": 0.2},
+    "sim_signature.v1": {"score_inconclusive": 2, "score_fail": 3},
+}
+
 # --- Fixed values: words no surface may show ------------------------------------
 FORBIDDEN_WORDS = ("authentic", "genuine", "real", "proven real", "verified", "independent")
 

@@ -84,6 +84,54 @@ def manifest_issues(m: Column, payload_root: Column) -> Column:
     )
 
 
+def unknown_keys(text: Column, shape: dict, path: str | Column = "") -> Column:
+    """Paths of keys that a closed shape does not name, at any depth of a JSON object's text.
+
+    `shape` names every key: None for a value, a dict for an object, a list of one dict for an
+    array of objects, "free" for an object whose keys are data. Paths read `range.x`,
+    `files[2].y`. What is no object where one belongs has no unknown keys.
+    """
+    at = F.lit(path) if isinstance(path, str) else path
+    empty = F.array().cast("array<string>")
+    names = F.coalesce(F.json_object_keys(text), empty)
+    found = [F.transform(F.array_except(names, F.array(*map(F.lit, shape))), lambda k: F.concat(at, k))]
+    for key, inner in shape.items():
+        part = F.get_json_object(text, f"$.{key}")
+        if isinstance(inner, dict):
+            found.append(unknown_keys(part, inner, F.concat(at, F.lit(f"{key}."))))
+        elif isinstance(inner, list):
+            found.append(_unknown_in_elements(part, inner[0], F.concat(at, F.lit(f"{key}["))))
+    return found[0] if len(found) == 1 else F.concat(*found)
+
+
+def _unknown_in_elements(text: Column, shape: dict, path: Column) -> Column:
+    elements = F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+    return F.flatten(F.transform(elements, lambda e, i: unknown_keys(e, shape, F.concat(path, i.cast("string"), F.lit("].")))))
+
+
+def corpus_manifest_issues(m: Column, listed: Column, distinct: Column) -> Column:
+    """Issues of a corpus manifest struct; `listed` and `distinct` count its episodes, which are never gathered in a row."""
+    f = m.getField
+    hashed = lambda name: ~f(name).rlike(HASH_PATTERN)
+    sources = f("sources")
+    return issues(
+        [
+            (f("v") != 1, "v must be 1"),
+            (f("kind") != "corpus_manifest", "kind must be corpus_manifest"),
+            (F.length(f("org_id")) < 1, "org_id is required"),
+            (F.length(f("title")) < 1, "title is required"),
+            (distinct < listed, "episodes must be unique"),
+            (f("episode_count").isNotNull() & (f("episode_count") != listed), "episode_count is not the number of episodes"),
+            (hashed("terms_hash"), "invalid terms_hash"),
+            (f("task_id").isNotNull() & hashed("task_id"), "invalid task_id"),
+            (f("corpus_root").isNotNull() & hashed("corpus_root"), "invalid corpus_root"),
+            (sources.isNotNull() & F.exists(sources, lambda s: ~s.isin(*fixed.SOURCES)), "source is not known"),
+            (sources.isNotNull() & ~_sorted_unique(sources), "sources must be sorted and unique"),
+            (f("sealed_at").isNotNull() & (f("sealed_at") < 0), "sealed_at must not be negative"),
+        ]
+    )
+
+
 def uint64_text(text: Column) -> Column:
     """Decimal digits only, and not above 2^64 - 1."""
     digits = F.regexp_replace(text, "^0+(?=.)", "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("claims", "record_rows", "lookups", "digests", "frame_checks", "near_copies", "anchors", "collections", "incremental")
+MODULES = ("claims", "record_rows", "lookups", "digests", "frame_checks", "near_copies", "claim_log", "anchors", "collections", "incremental")
 
 
 def load_all():

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
 from ..operators import badges as B
-from ..operators.scale import positions
+from ..operators.row_series import numbered
 from . import proxies as P
 from .registry import query
 
@@ -267,8 +267,7 @@ def claims_by_subject(spark, sf_dir):
     """Claims of each record in issue order, one row each (no unbounded list)."""
     records = P.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("subject"))
     rows = P.claims(spark, sf_dir).join(records, "subject")
-    chunk = F.floor(F.col("issued_at") / (400 * P.DAY_S))
-    return positions(rows, ["subject"], ["issued_at", *P.CLAIM_ORDER, "result"], chunk, name="position").select(
+    return numbered(rows, ["subject"], ["issued_at", *P.CLAIM_ORDER, "result"], "position").select(
         "subject", "position", F.col("check").alias("check_name"), "result", "issued_at"
     )
 

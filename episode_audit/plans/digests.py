@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..operators import merkle as M
 from ..operators import sparse as S
+from ..operators.growing_tree import GrowingTree
 from ..operators.scale import positions
+from ..session import checkpoint_folder
 from . import proxies as P
 from .claims import MEMBERS_SQL, members
 from .registry import query
@@ -135,6 +139,50 @@ def consistency(spark, sf_dir):
     return proofs.select("m", "n", F.size("proof").cast("bigint").alias("steps"), ok.alias("ok"))
 
 
+GROWTH = 5  # batches in which the log is appended
+
+
+@query(
+    "log_growth",
+    "WITH " + P.LEAVES_SQL + ", " + nodes_sql() + f""",
+total AS (SELECT count(*) AS n FROM leaves),
+sizes AS (SELECT DISTINCT CAST(floor(n * (b + 1) / {GROWTH}) AS BIGINT) AS size FROM total, range(0, {GROWTH}) t(b)), """ + PREFIX_SQL + """,
+ends AS (SELECT size, coalesce(lag(size) OVER (ORDER BY size), 0) AS first FROM sizes)
+SELECT size, lower(hex(root)) AS root,
+  (SELECT sum((size >> level::INT) - (first >> level::INT)) FROM range(0, 40) t(level))::BIGINT AS new_nodes FROM ends JOIN prefix USING (size)""",
+)
+def log_growth(spark, sf_dir):
+    """The log appended in batches: head and new nodes of each, no old node being read."""
+    leaves = P.leaves(spark, sf_dir).select("idx", "leaf")
+    total = leaves.count()
+    tree = GrowingTree(spark, f"{checkpoint_folder(spark)}/log-{uuid.uuid4().hex}")
+    before = 0
+    for batch in range(GROWTH):
+        size = total * (batch + 1) // GROWTH
+        tree.append(leaves.filter((F.col("idx") >= before) & (F.col("idx") < size)), str(batch))
+        before = size
+    level = F.sequence(F.lit(0), F.lit(39))
+    made = F.aggregate(level, F.lit(0).cast("bigint"), lambda acc, b: acc + F.floor(F.col("size") / F.pow(F.lit(2.0), b)) - F.floor(F.col("first") / F.pow(F.lit(2.0), b)))
+    return tree.heads().filter("size > first").select("size", H.hex_text(F.col("root")).alias("root"), made.alias("new_nodes"))
+
+
+@query(
+    "stored_proofs",
+    "WITH " + P.LEAVES_SQL + ", " + tree_sql() + ", " + _siblings_sql() + " SELECT p.idx, proof, steps FROM proofs p WHERE p.idx % 20 = 0",
+)
+def stored_proofs(spark, sf_dir):
+    """Proofs of every twentieth record against the head of a log appended twice, from stored nodes."""
+    leaves = P.leaves(spark, sf_dir).select("idx", "leaf")
+    total = leaves.count()
+    tree = GrowingTree(spark, f"{checkpoint_folder(spark)}/log-{uuid.uuid4().hex}")
+    tree.append(leaves.filter(F.col("idx") < total // 3), "first")
+    tree.append(leaves.filter(F.col("idx") >= total // 3), "second")
+    proofs = tree.proofs(leaves.filter(F.col("idx") % 20 == 0).select("idx"), total)
+    return proofs.select(
+        "idx", F.array_join(F.transform("proof", H.hex_text), ",").alias("proof"), F.size("proof").cast("bigint").alias("steps")
+    )
+
+
 FILES_SQL = """
 files AS (
   SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx,

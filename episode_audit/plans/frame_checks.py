@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
 from ..operators.checks import kinematics, motion, simulation, timing
-from ..operators.checks.series import KEY, episode_bounds, resample
-from ..operators.scale import chunked_series
+from ..operators.checks.series import KEY, episode_bounds, frame_series, resample, speed_points
+from ..operators.row_series import in_parts, with_previous
 from . import proxies as P
 from .registry import query
 
@@ -21,6 +21,11 @@ def state_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def joint_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frame series of times and joint states."""
+    return frame_series(state_frames(spark, sf_dir).drop("action"), ORDER)
+
+
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episode facts: rate and duration follow from the series itself."""
     span = F.col("t1") - F.col("t0")
@@ -39,10 +44,6 @@ series AS (
   FROM frames f WINDOW w AS (PARTITION BY episode ORDER BY ts, event_id))"""
 
 
-def series(spark: SparkSession, sf_dir: str, **kwargs) -> DataFrame:
-    return chunked_series(P.frames(spark, sf_dir), KEY, ORDER, P.frame_chunk(), position="frame", **kwargs)
-
-
 @query(
     "frame_scan",
     "SELECT user_id AS episode, event_id, value FROM events WHERE user_id BETWEEN 10 AND 19",
@@ -75,13 +76,12 @@ second AS (SELECT *, lag(v0 - p0) OVER (PARTITION BY episode ORDER BY frame) AS
 SELECT episode, frame, round(ts - pts, 9) AS dt, round(v0 - p0, 6) AS step, round((v0 - p0) - pv, 6) AS second_step FROM second""",
 )
 def frame_deltas(spark, sf_dir):
-    first = series(spark, sf_dir, previous=["ts", "v0"]).select(
-        "episode", "frame", (F.col("ts") - F.col("prev_ts")).alias("dt"), (F.col("v0") - F.col("prev_v0")).alias("step")
-    )
-    second = chunked_series(first, KEY, ["frame"], F.shiftright("frame", 12), position="again", previous=["step"])
-    return second.select(
-        "episode", "frame", F.round("dt", 9).alias("dt"), F.round("step", 6).alias("step"),
-        F.round(F.col("step") - F.col("prev_step"), 6).alias("second_step"),
+    parts = in_parts(P.frames(spark, sf_dir).select("episode", "ts", "event_id", "v0"), KEY, ORDER)
+    rows = with_previous(parts, KEY, ["ts", "v0"], depth=2, position="frame")
+    step, before = F.col("v0") - F.col("prev_v0"), F.col("prev_v0") - F.col("prev2_v0")
+    return rows.select(
+        "episode", "frame", F.round(F.col("ts") - F.col("prev_ts"), 9).alias("dt"), F.round(step, 6).alias("step"),
+        F.round(step - before, 6).alias("second_step"),
     )
 
 
@@ -105,7 +105,7 @@ timing AS (
 
 @query("timing_check", "WITH " + TIMING_SQL + " SELECT * FROM timing")
 def timing_check(spark, sf_dir):
-    return timing.timing_check(P.frames(spark, sf_dir), episodes(spark, sf_dir), ORDER, P.frame_chunk())
+    return timing.timing_check(frame_series(P.frames(spark, sf_dir), ORDER), episodes(spark, sf_dir))
 
 
 def limited_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +154,7 @@ kin AS (
 
 @query("kinematics_check", "WITH " + KINEMATICS_SQL + " SELECT * FROM kin")
 def kinematics_check(spark, sf_dir):
-    out = kinematics.kinematics_check(state_frames(spark, sf_dir), limited_episodes(spark, sf_dir), ORDER, P.frame_chunk(), ACCEL)
+    out = kinematics.kinematics_check(frame_series(state_frames(spark, sf_dir), ORDER), limited_episodes(spark, sf_dir), ACCEL)
     return out.withColumn("value", F.round("value", 4))
 
 
@@ -182,7 +182,7 @@ features AS (
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulation.repeat_and_jitter(state_frames(spark, sf_dir), ORDER, P.frame_chunk())
+    return simulation.repeat_and_jitter(joint_series(spark, sf_dir))
 
 
 @query("dt_variance", "WITH " + FEATURES_SQL + " SELECT episode, round(dt_variance, 9) AS dt_variance FROM features")
@@ -209,8 +209,10 @@ def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = ~(F.col("lo") < F.col("hi"))
     low = F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo"))
     high = F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi"))
-    scaled = F.least(F.greatest((F.col("v0") - low) / (high - low), F.lit(0.0)), F.lit(1.0))
-    return series(spark, sf_dir, attributes=ranges).select("episode", "frame", scaled.alias("v"))
+    scaled = lambda v: F.least(F.greatest((v - low) / (high - low), F.lit(0.0)), F.lit(1.0))
+    parts = in_parts(P.frames(spark, sf_dir).select("episode", "ts", "event_id", "v0"), KEY, ORDER)
+    rows = with_previous(parts, KEY, ["v0"], position="frame", attributes=ranges)
+    return rows.select("episode", "frame", scaled(F.col("v0")).alias("v"), scaled(F.col("prev_v0")).alias("prev_v"))
 
 
 @query("minmax_normalise", "WITH " + NORMAL_SQL + " SELECT episode, frame, round(v, 6) AS v FROM normal")
@@ -226,7 +228,7 @@ b AS (SELECT episode, CAST(least(greatest(floor((d + 1.0) / 0.0625), 0), {fixed.
 SELECT episode, bin, round(count(*) / sum(count(*)) OVER (PARTITION BY episode), 6) AS share FROM b GROUP BY episode, bin""",
 )
 def velocity_histogram(spark, sf_dir):
-    steps = chunked_series(normalised(spark, sf_dir), KEY, ["frame"], F.shiftright("frame", 12), position="again", previous=["v"])
+    steps = normalised(spark, sf_dir)
     width = 2.0 / fixed.HISTOGRAM_BINS
     bins = (
         steps.filter(F.col("frame") > 0)
@@ -247,9 +249,8 @@ pick AS (SELECT g.episode, g.k, g.t, s.* EXCLUDE (episode) FROM grid g ASOF JOIN
 SELECT episode, k, round(p0 + (v0 - p0) * (t - pts) / (ts - pts), 4) AS v0, round(p1 + (v1 - p1) * (t - pts) / (ts - pts), 4) AS v1 FROM pick""",
 )
 def resample_linear(spark, sf_dir):
-    frames = state_frames(spark, sf_dir).select("episode", "ts", "event_id", "state")
-    bounds = episode_bounds(frames).filter(F.col("frames") > 1)
-    out = resample(frames.join(bounds.select("episode"), "episode", "left_semi"), ORDER, P.frame_chunk(), fixed.RESAMPLE_HZ, bounds)
+    frames = joint_series(spark, sf_dir)
+    out = resample(frames, fixed.RESAMPLE_HZ, episode_bounds(frames).filter(F.col("frames") > 1))
     return out.select("episode", "k", F.round(F.get("state", F.lit(0)), 4).alias("v0"), F.round(F.get("state", F.lit(1)), 4).alias("v1"))
 
 
@@ -292,13 +293,9 @@ correl AS (
   FROM motion JOIN speeds USING (episode, k) GROUP BY episode)"""
 
 
-def _point_chunk():
-    return F.floor(F.col("t") / 8)
-
-
 def correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = state_frames(spark, sf_dir).select("episode", "ts", "event_id", "state")
-    return motion.motion_correlation(frames, motion_series(spark, sf_dir), ORDER, P.frame_chunk(), _point_chunk())
+    frames = joint_series(spark, sf_dir)
+    return motion.motion_correlation(frames, speed_points(frames), motion_series(spark, sf_dir))
 
 
 @query(
@@ -324,8 +321,8 @@ share AS (SELECT episode, CASE WHEN sum(p) > 0 THEN coalesce(sum(p) FILTER (f *
 
 
 def share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = state_frames(spark, sf_dir).select("episode", "ts", "event_id", "state")
-    return simulation.spectral_share(frames, ORDER, P.frame_chunk(), _point_chunk())
+    frames = joint_series(spark, sf_dir)
+    return simulation.spectral_share(frames, speed_points(frames))
 
 
 @query(
@@ -354,14 +351,14 @@ sim AS (
 
 
 def simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulation.simulation_check(
-        declared(spark, sf_dir), state_frames(spark, sf_dir), features(spark, sf_dir), share(spark, sf_dir), motion_series(spark, sf_dir)
-    )
+    frames = joint_series(spark, sf_dir)
+    features, share = simulation.repeat_and_jitter(frames), simulation.spectral_share(frames, speed_points(frames))
+    return simulation.simulation_check(declared(spark, sf_dir), features, share, motion_series(spark, sf_dir))
 
 
 @query("sim_signature", "WITH " + SIM_SQL + " SELECT * FROM sim")
 def sim_signature(spark, sf_dir):
-    return simulated(spark, sf_dir)
+    return simulated(spark, sf_dir).select("episode", "result", "reason", "downgraded_from", "score")
 
 
 SENSOR_SQL = """

@@ -12,7 +12,7 @@ from .. import fixed_values as fixed
 from ..functions import hashing as H
 from ..functions import records, validate
 from ..operators import merkle as M
-from ..operators.scale import positions
+from ..operators.row_series import numbered
 from ..session import cut_lineage
 from ..sources.episodes import read_dataset
 
@@ -191,11 +191,8 @@ def ingest(
         "dataset", "episode_index", F.lit("not_encodable").alias("code"), F.lit("a value does not fit the record").alias("message")
     )
     fresh = encoded.filter(F.col("record").isNotNull())
-    numbered = positions(
-        fresh.select("dataset", "episode_index", "manifest_hash", "consent_key", "record"), [], ["episode_index", "dataset"],
-        F.shiftright("episode_index", 12), name="at",
-    )
-    appended = numbered.select(
+    placed = numbered(fresh.select("dataset", "episode_index", "manifest_hash", "consent_key", "record"), [], ["episode_index", "dataset"], "at")
+    appended = placed.select(
         (F.col("at") + size).alias("idx"), H.leaf_hash(F.col("record")).alias("leaf"), F.lit(context.org_id).alias("org_id"),
         "dataset", "episode_index", "manifest_hash", "consent_key", "record", (F.col("at") + size + 1).alias("log_size_after"),
     )

@@ -9,6 +9,7 @@ from .. import fixed_values as fixed
 from ..functions import hashing as H
 from ..functions import records
 from ..operators import lookups as L
+from ..operators.row_series import numbered
 from ..operators.scale import positions
 from ..sources.inventory import compare
 from . import proxies as P
@@ -273,7 +274,7 @@ def append_index(spark, sf_dir):
     orders = P.table(spark, sf_dir, "orders")
     size = orders.filter(F.col("o_orderstatus") == "F").count()
     fresh = orders.filter(F.col("o_orderstatus") != "F").select(F.col("o_orderkey").alias("record"), P.seconds("o_orderdate").alias("at"))
-    ranked = positions(fresh, [], ["at", "record"], F.floor(F.col("at") / (30 * P.DAY_S)))
+    ranked = numbered(fresh, [], ["at", "record"])
     return ranked.select("record", (F.col("pos") + size).alias("idx"), (F.col("pos") + size + 1).alias("log_size_after"))
 
 

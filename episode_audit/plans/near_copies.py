@@ -14,6 +14,7 @@ from .. import fixed_values as fixed
 from ..functions import draws
 from ..functions import hashing as H
 from ..operators.checks import neardup as N
+from ..operators.checks.series import frame_series
 from ..operators.scale import positions
 from . import proxies as P
 from .record_rows import _be
@@ -51,10 +52,70 @@ def vector_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("vec_id", "label", F.posexplode("buckets").alias("table_no", "bucket")).withColumn("table_no", F.col("table_no").cast("bigint"))
 
 
-def _planes_sql(dim: int = 64) -> str:
+def _planes_sql(dim: int = 64, name: str = "planes") -> str:
     rows = N.planes(dim)
     values = ", ".join(f"({i // fixed.LSH_PLANES}, {i % fixed.LSH_PLANES}, [{', '.join(map(repr, map(float, r)))}])" for i, r in enumerate(rows))
-    return f"planes(table_no, p, normal) AS (VALUES {values})"
+    return f"{name}(table_no, p, normal) AS (VALUES {values})"
+
+
+def search_sql(dof: int) -> str:
+    """CTEs from trajectories to `nearest(idx, nearest, d)`, after WITH RECURSIVE.
+
+    Reads traj(idx, kind, n, f): f is a list of n frames of `dof` scaled joints. Buckets come from
+    the descriptor, the distance from its table row by row: a cell is the sum of costs along
+    its row since the best cell of the row before from which that run can start.
+    """
+    bins, terms, width = fixed.HISTOGRAM_BINS, fixed.DCT_TERMS, 2.0 / fixed.HISTOGRAM_BINS
+    joint = f"""list_transform(range(0, {bins}), lambda b: len(list_filter(range(1, n), lambda i:
+      greatest(least(floor((f[i + 1][j + 1] - f[i][j + 1] + 1.0) / {width!r}), {bins - 1}), 0) = b)) / greatest(n - 1, 1)::DOUBLE)
+      || list_transform(range(0, {terms}), lambda k: list_sum(list_transform(range(0, n), lambda i: f[i + 1][j + 1] * cos(pi() / n * (i + 0.5) * k))) / n)"""
+    return _planes_sql(dof * (bins + terms), "normals") + f""",
+firsts AS MATERIALIZED (SELECT *, min(idx) OVER (PARTITION BY kind, n, f) AS first FROM traj),
+described AS MATERIALIZED (
+  SELECT idx, kind, n, f, flatten(list_transform(range(0, {dof}), lambda j: {joint})) AS vec FROM firsts WHERE idx = first),
+signs AS MATERIALIZED (
+  SELECT idx, kind, table_no, sum(CASE WHEN list_dot_product(vec, normal::DOUBLE[]) >= 0 THEN 1::BIGINT << p ELSE 0 END) AS bucket
+  FROM described, normals GROUP BY idx, kind, table_no),
+pairs AS MATERIALIZED (
+  SELECT DISTINCT a.idx AS probe, b.idx AS candidate FROM signs a JOIN signs b
+  ON a.kind = b.kind AND a.table_no = b.table_no AND a.bucket = b.bucket AND b.idx < a.idx),
+sides AS MATERIALIZED (
+  SELECT probe, candidate, a.n AS n, b.n AS m, a.f AS f, list_transform(b.f, lambda r: list_transform(r, lambda v: v::FLOAT::DOUBLE)) AS g,
+    greatest(1, ceil({fixed.WARP_BAND} * greatest(a.n, b.n))::BIGINT, abs(a.n - b.n)) AS band
+  FROM pairs JOIN described a ON a.idx = probe JOIN described b ON b.idx = candidate),
+warp AS (
+  SELECT probe, candidate, 0::BIGINT AS i, [0::DOUBLE] || list_transform(range(0, m), lambda j: 'Infinity'::DOUBLE) AS row FROM sides
+  UNION ALL
+  SELECT probe, candidate, i + 1, list_transform(range(0, m + 1), lambda j: CASE WHEN j - 1 < lo OR j - 1 > hi THEN 'Infinity'::DOUBLE
+      ELSE total[j - lo] + list_min(list_transform(range(1, j - lo + 1), lambda q: reach[q] - (total[q] - cost[q]))) END)
+  FROM (
+    SELECT *, list_transform(range(1, hi - lo + 2), lambda q: list_sum(cost[1:q])) AS total FROM (
+      SELECT w.probe, w.candidate, w.i, m, greatest(0, w.i - band) AS lo, least(m - 1, w.i + band) AS hi,
+        list_transform(range(greatest(0, w.i - band), least(m - 1, w.i + band) + 1), lambda j:
+          sqrt(list_sum(list_transform(range(1, {dof + 1}), lambda x: (f[w.i + 1][x] - g[j + 1][x]) * (f[w.i + 1][x] - g[j + 1][x]))))) AS cost,
+        list_transform(range(greatest(0, w.i - band), least(m - 1, w.i + band) + 1), lambda j: least(w.row[j + 1], w.row[j + 2])) AS reach
+      FROM warp w JOIN sides s ON w.probe = s.probe AND w.candidate = s.candidate WHERE w.i < s.n))),
+measured AS (SELECT w.probe, w.candidate, w.row[s.m + 1] / (s.n + s.m) AS d FROM warp w JOIN sides s ON w.probe = s.probe AND w.candidate = s.candidate WHERE w.i = s.n),
+nearest AS (
+  SELECT probe AS idx, arg_min(candidate, (round(d, 12), candidate)) AS nearest, min(d) AS d FROM measured GROUP BY probe
+  UNION ALL SELECT idx, first, 0.0 FROM firsts WHERE idx > first)"""
+
+
+def verdict_sql(d: str = "d") -> dict[str, str]:
+    """Columns of the verdict of a comparable episode."""
+    return {
+        "result": f"CASE WHEN {d} < {fixed.NEAR_DISTANCE} THEN 'inconclusive' ELSE 'pass' END",
+        "downgraded_from": f"CASE WHEN {d} < {fixed.EXACT_DISTANCE} THEN 'fail' ELSE '' END",
+    }
+
+
+VECTOR_TRAJECTORIES_SQL = f"""
+cells AS (SELECT vec_id AS idx, label AS kind, i // {JOINTS} AS k, i % {JOINTS} AS j, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(0, {FRAMES * JOINTS}) t(i)),
+scaled AS (
+  SELECT idx, kind, k, j, CASE WHEN lo < hi THEN (v - lo) / (hi - lo) ELSE 0.5 END AS v
+  FROM (SELECT *, min(v) OVER (PARTITION BY idx, j) AS lo, max(v) OVER (PARTITION BY idx, j) AS hi FROM cells)),
+rows_of AS (SELECT idx, kind, k, list(v ORDER BY j) AS r FROM scaled GROUP BY idx, kind, k),
+traj AS MATERIALIZED (SELECT idx, kind, count(*) AS n, list(r ORDER BY k) AS f FROM rows_of GROUP BY idx, kind)"""
 
 
 BUCKETS_SQL = _planes_sql() + """,
@@ -98,14 +159,23 @@ def vector_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("near_duplicates")
+NEAREST_SQL = "WITH RECURSIVE " + VECTOR_TRAJECTORIES_SQL + ", " + search_sql(JOINTS)
+
+
+@query(
+    "near_duplicates",
+    NEAREST_SQL + f"""
+SELECT t.idx AS episode, {verdict_sql()['result']} AS result, '' AS reason, {verdict_sql()['downgraded_from']} AS downgraded_from,
+  nearest, round(d, 6) AS d, row_number() OVER (ORDER BY t.idx) - 1 AS index_snapshot
+FROM traj t LEFT JOIN nearest x ON t.idx = x.idx""",
+)
 def near_duplicates(spark, sf_dir):
     """Verdict of the near-duplicate check for every recording."""
-    out = N.neardup_check(vector_frames(spark, sf_dir), vector_episodes(spark, sf_dir), ["frame_index"], F.shiftright("frame_index", 12))
-    return out.withColumn("d", F.round("d", 6))
+    out = N.neardup_check(frame_series(vector_frames(spark, sf_dir), ["frame_index"]), vector_episodes(spark, sf_dir))
+    return out.drop("compared").withColumn("d", F.round("d", 6))
 
 
-@query("nearest_neighbour")
+@query("nearest_neighbour", NEAREST_SQL + " SELECT idx AS episode, nearest, round(d, 6) AS d FROM nearest")
 def nearest_neighbour(spark, sf_dir):
     """Nearest earlier candidate by warping distance, for recordings that have one."""
     return near_duplicates(spark, sf_dir).filter(F.col("nearest").isNotNull()).select("episode", "nearest", "d")
@@ -162,7 +232,7 @@ def detection_rates(spark, sf_dir):
     kinds = {1: ("exact", variant(1, ts, 0.0)), 2: ("noisy", variant(2, ts, 0.001)), 3: ("slower", variant(3, ts * 1.1, 0.0)), 4: ("faster", variant(4, ts * 0.9, 0.0))}
     for _, (f, e) in kinds.values():
         frames, episodes = frames.unionByName(f), episodes.unionByName(e)
-    out = N.neardup_check(frames, episodes, ["frame_index"], F.shiftright("frame_index", 12))
+    out = N.neardup_check(frame_series(frames, ["frame_index"]), episodes)
     names = F.create_map(F.lit(0), F.lit("distinct"), *(F.lit(x) for n, (name, _) in kinds.items() for x in (n, name)))
     kind = F.try_element_at(names, F.floor(F.col("episode") / shift).cast("int")).alias("kind")
     return out.groupBy(kind).agg(

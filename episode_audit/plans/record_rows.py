@@ -469,6 +469,58 @@ def corpus_issues(spark, sf_dir):
     )
 
 
+def _json_sql() -> str:
+    """A capture manifest as text: unknown keys at the top, in the range, in a file and in the signature."""
+    return """'{"v":1,"kind":"capture_manifest","range":{"episode_index":' || doc_id || ',"frames":[0,1],"video":{"any":[0,1]}'
+      || CASE WHEN doc_id % 3 = 1 THEN ',"chain_id":1' ELSE '' END || '},"files":[{"path":"a","bytes":1},{"path":"b"' || CASE WHEN doc_id % 4 = 2 THEN ',"mode":7,"owner":"x"' ELSE '' END
+      || '}],"signature":' || CASE WHEN doc_id % 5 = 0 THEN 'null' ELSE '{"alg":"ed25519"' || CASE WHEN doc_id % 7 = 3 THEN ',"nonce":"' || n_chars || '"' ELSE '' END || '}' END
+      || CASE WHEN doc_id % 11 = 4 THEN ',"' || source || '":true' ELSE '' END || '}'"""
+
+
+@query(
+    "unknown_keys",
+    f"""WITH m AS (SELECT doc_id, ({_json_sql()})::JSON AS j FROM documents),
+known(place, names) AS (VALUES ('', {list(fixed.CAPTURE_SHAPE)}), ('range.', {list(fixed.CAPTURE_SHAPE['range'])}), ('file', {list(fixed.CAPTURE_SHAPE['files'][0])}), ('signature.', {list(fixed.CAPTURE_SHAPE['signature'])})),
+parts AS (
+  SELECT doc_id, '' AS place, '' AS shown, j AS o FROM m UNION ALL SELECT doc_id, 'range.', 'range.', j->'range' FROM m
+  UNION ALL SELECT doc_id, 'signature.', 'signature.', j->'signature' FROM m
+  UNION ALL SELECT doc_id, 'file', 'files[' || i || '].', json_extract(j, '$.files[' || i || ']') FROM m, range(0, 2) t(i)),
+keys AS (SELECT doc_id, place, shown, unnest(json_keys(o)) AS k FROM parts WHERE json_type(o) = 'OBJECT')
+SELECT doc_id, string_agg(shown || k, ',' ORDER BY shown || k) AS unknown FROM keys JOIN known USING (place) WHERE NOT list_contains(names, k) GROUP BY doc_id""",
+)
+def unknown_keys(spark, sf_dir):
+    """Manifests as text with keys that the closed shape does not have, whatever their depth."""
+    rows = P.table(spark, sf_dir, "documents").select("doc_id", F.expr(_json_sql().replace("::JSON", "")).alias("j"))
+    found = rows.select("doc_id", F.array_sort(validate.unknown_keys(F.col("j"), fixed.CAPTURE_SHAPE)).alias("k"))
+    return found.filter(F.size("k") > 0).select("doc_id", F.array_join("k", ",").alias("unknown"))
+
+
+@query(
+    "corpus_manifest_issues",
+    """WITH c AS (
+  SELECT l_suppkey AS corpus, count(*) AS listed, count(DISTINCT l_orderkey) AS members, list(DISTINCT substr(l_shipdate::VARCHAR, 1, 4)) AS years FROM lineitem GROUP BY 1),
+m AS (SELECT *, listed - (corpus % 3 = 0)::INT AS episode_count, CASE corpus % 4 WHEN 0 THEN ['mixed', 'sim'] WHEN 1 THEN ['sim', 'mixed'] WHEN 2 THEN ['real', 'sim'] END AS sources FROM c)
+SELECT corpus, concat_ws('; ', CASE WHEN corpus % 10 = 7 THEN 'title is required' END, CASE WHEN members < listed THEN 'episodes must be unique' END,
+  CASE WHEN episode_count <> listed THEN 'episode_count is not the number of episodes' END,
+  CASE WHEN len(list_filter(sources, lambda s: s NOT IN ('sim', 'teleop_sim', 'teleop_real', 'autonomous_real', 'mixed'))) > 0 THEN 'source is not known' END,
+  CASE WHEN list_sort(list_distinct(sources)) <> sources THEN 'sources must be sorted and unique' END) AS issues FROM m""",
+)
+def corpus_manifest_issues(spark, sf_dir):
+    """Corpus manifests whose count, title or sources do not fit their members."""
+    per_member = P.table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    facts = per_member.groupBy(F.col("l_suppkey").alias("corpus")).agg(F.sum("n").alias("listed"), F.count(F.lit(1)).alias("members"))
+    c = F.col("corpus")
+    named = lambda *names: F.array(*map(F.lit, names))
+    sources = F.when(c % 4 == 0, named("mixed", "sim")).when(c % 4 == 1, named("sim", "mixed")).when(c % 4 == 2, named("real", "sim"))
+    manifest = F.struct(
+        F.lit(1).alias("v"), F.lit("corpus_manifest").alias("kind"), F.lit("org").alias("org_id"), F.when(c % 10 == 7, "").otherwise("a title").alias("title"),
+        F.lit("0x" + "ab" * 32).alias("terms_hash"), F.lit(None).cast("string").alias("task_id"), F.lit(None).cast("string").alias("corpus_root"),
+        (F.col("listed") - F.when(c % 3 == 0, 1).otherwise(0)).alias("episode_count"), sources.alias("sources"), F.lit(None).cast("bigint").alias("sealed_at"),
+    )
+    found = facts.withColumn("m", manifest).select("corpus", validate.corpus_manifest_issues(F.col("m"), F.col("listed"), F.col("members")).alias("issues"))
+    return found.select("corpus", F.array_join("issues", "; ").alias("issues"))
+
+
 # --------------------------------------------------------- text and amounts
 
 SCANNED = fixed.FORBIDDEN_WORDS + ("la", "the", "and the")

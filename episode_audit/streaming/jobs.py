@@ -1,7 +1,9 @@
 """Structured Streaming jobs over record, claim, revocation and request streams.
 
-Sinks written per micro-batch go to a folder of their own batch number, so a
-batch that is tried again replaces its earlier attempt.
+Sinks that append each key once write to a key store, which reads only the buckets of
+its keys that a batch touches and outlives any checkpoint. Jobs with an order in event
+time hold rows back until the watermark has passed them, so results do not depend on the order
+in which files arrive.
 """
 
 from __future__ import annotations
@@ -17,6 +19,9 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import fixed_values as fixed
+from ..operators.checks.run import CheckInput, run_checks
+from ..operators.row_series import in_parts, running_sum, with_previous
+from .key_store import KeyStore, run_of
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -26,15 +31,6 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _written(spark: SparkSession, path: str, schema: T.StructType, before: int) -> DataFrame:
-    """Rows of earlier batches only; none when nothing has been written yet."""
-    typed = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(typed).option("basePath", path).parquet(path).filter(F.col("batch_id") < before).drop("batch_id")
-
-
 def _put(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
@@ -49,107 +45,137 @@ def start(
 # ---------------------------------------------------------- append, revoke
 
 
-def append_once(stream: DataFrame, key: Sequence[str], time: str, delay: str, path: str, checkpoint: str) -> StreamingQuery:
+def append_once(stream: DataFrame, key: Sequence[str], time: str, delay: str, store: KeyStore, checkpoint: str) -> StreamingQuery:
     """Append rows whose key was not appended before; repeats in flight are dropped early."""
-    key = list(key)
-    fresh = stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        known = _written(batch.sparkSession, path, batch.schema, batch_id).select(*key).distinct()
-        _put(batch.dropDuplicates(key).join(known, key, "left_anti"), path, batch_id)
+    fresh = stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(key))
+    return start(fresh, lambda batch, batch_id: store.append(batch, run_of(batch, checkpoint), batch_id), checkpoint)
 
-    return start(fresh, handle, checkpoint)
 
-
-def first_write_wins(stream: DataFrame, key: Sequence[str], order: Sequence[str], path: str, checkpoint: str) -> StreamingQuery:
+def first_write_wins(stream: DataFrame, order: Sequence[str], store: KeyStore, checkpoint: str) -> StreamingQuery:
     """Keep the earliest row of each key; a later row never replaces a written one."""
-    key = list(key)
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        first = batch.groupBy(*key).agg(F.min_by(F.struct(*batch.columns), F.struct(*order)).alias("r")).select("r.*")
-        known = _written(batch.sparkSession, path, batch.schema, batch_id).select(*key).distinct()
-        _put(first.join(known, key, "left_anti"), path, batch_id)
+    return start(stream, lambda batch, batch_id: store.append(batch, run_of(batch, checkpoint), batch_id, order), checkpoint)
 
-    return start(stream, handle, checkpoint)
 
-
-def revocation_status(spark: SparkSession, records: DataFrame, path: str, schema: T.StructType) -> DataFrame:
+def revocation_status(records: DataFrame, store: KeyStore) -> DataFrame:
     """Live or revoked per record from the revocations written so far (column key)."""
-    revoked = _written(spark, path, schema, 1 << 62).select("key", F.lit("revoked").alias("_s"))
+    revoked = store.rows().select("key", F.lit("revoked").alias("_s"))
     return records.join(revoked, "key", "left").select(*records.columns, F.coalesce("_s", F.lit("live")).alias("status"))
 
 
-def verify_queue(
-    episodes: DataFrame, check: Callable[[DataFrame], DataFrame], identity: Sequence[str], path: str, checkpoint: str
-) -> StreamingQuery:
+def verify_queue(episodes: DataFrame, check: Callable[[DataFrame], DataFrame], store: KeyStore, checkpoint: str) -> StreamingQuery:
     """Run `check` on each micro-batch of complete episodes and keep claims not issued before."""
-    identity = list(identity)
+    return start(episodes, lambda batch, batch_id: store.append(check(batch), run_of(batch, checkpoint), batch_id), checkpoint)
+
+
+def live_checks(
+    frames: DataFrame,
+    frames_so_far: Callable[[], DataFrame],
+    prepare: Callable[[DataFrame], CheckInput],
+    config: dict,
+    time: str,
+    gap: str,
+    delay: str,
+    store: KeyStore,
+    checkpoint: str,
+) -> StreamingQuery:
+    """All enabled checks on live frames, episode by episode, as soon as an episode is complete.
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        claims = check(batch)
-        known = _written(batch.sparkSession, path, claims.schema, batch_id).select(*identity).distinct()
-        _put(claims.dropDuplicates(identity).join(known, identity, "left_anti"), path, batch_id)
+    An episode is complete when the watermark passes its last frame by `gap`; until then only
+    its bounds are kept as state. Complete ones are looked up among the frames landed so far,
+    with their first and last time as limits, and go through the same checks as a
+    batch; outcomes are appended once per (episode, check).
+    """
+
+    def check(closed: DataFrame) -> DataFrame:
+        landed = frames_so_far().alias("f")
+        spans = closed.alias("c")
+        inside = (F.col("f.episode") == F.col("c.episode")) & F.col(f"f.{time}").between(F.col("c.first"), F.col("c.last"))
+        return run_checks(prepare(landed.join(spans, inside, "left_semi")), config).select(*store.schema.names)
 
-    return start(episodes, handle, checkpoint)
+    return verify_queue(live_sessions(frames, time, "episode", gap, delay), check, store, checkpoint)
 
 
 # -------------------------------------------------------------- keyed state
 
 
-def classify_requests(stream: DataFrame, ttl_s: int = fixed.IDEMPOTENCY_TTL_S) -> DataFrame:
-    """key, at (epoch seconds), id, body -> outcome. One opening per key is kept as state."""
-    schema = "key string, id bigint, outcome string"
+def _in_time(
+    stream: DataFrame, key: str, delay: str, fold: Callable, start_state: tuple, state_schema: str, carried: str, out: str
+) -> DataFrame:
+    """Fold the rows of each key in the order of (time, id), whatever the order of their arrival.
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened = state.get if state.exists else None
-        rows = pd.concat(batches).sort_values(["at", "id"])
-        outcomes = []
-        for at, body in zip(rows["at"], rows["body"]):
-            if opened is None or at >= opened[0] + ttl_s:
-                opened = (float(at), str(body))
-                outcomes.append("new")
-            else:
-                outcomes.append("replay" if str(body) == opened[1] else "conflict")
-        if opened is not None:
-            state.update(opened)
-        yield pd.DataFrame({"key": key[0], "id": rows["id"], "outcome": outcomes})
-
-    return stream.groupBy("key").applyInPandasWithState(run, schema, "at double, body string", "append", GroupStateTimeout.NoTimeout)
-
-
-def flag_bursts(stream: DataFrame, key: str, capacity: int = fixed.BURST_CAPACITY, refill_s: float = fixed.BURST_REFILL_S) -> DataFrame:
-    """key, at (epoch seconds), event_id -> allowed. A bucket refills evenly over `refill_s`."""
-    schema = f"{key} bigint, event_id bigint, allowed boolean"
+    Rows wait in the state until the watermark has passed their time; no earlier row can
+    come after that (later ones are dropped as late). `fold(state, row) -> state, value` sees
+    rows of columns at (epoch seconds), id and `carried`.
+    """
 
     def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tokens, seen = state.get if state.exists else (float(capacity), None)
-        rows = pd.concat(batches).sort_values(["at", "event_id"])
-        allowed = []
-        for at in rows["at"]:
-            if seen is not None and at > seen:
-                tokens = min(float(capacity), tokens + (at - seen) / refill_s * capacity)
-            seen = at if seen is None else max(seen, at)
-            allowed.append(tokens >= 1)
-            tokens -= 1.0 if tokens >= 1 else 0.0
-        state.update((float(tokens), float(seen)))
-        yield pd.DataFrame({key: group[0], "event_id": rows["event_id"], "allowed": allowed})
+        *own, at, ids, more = state.get if state.exists else (*start_state, [], [], [])
+        own, waiting = tuple(own), list(zip(at, ids, more))
+        for batch in batches:
+            waiting += zip(batch["at"].tolist(), batch["id"].tolist(), batch[carried].astype(str).tolist() if carried else [""] * len(batch))
+        passed = state.getCurrentWatermarkMs()
+        waiting.sort()
+        ready = next((i for i, w in enumerate(waiting) if w[0] * 1000 > passed), len(waiting))
+        made = []
+        for row in waiting[:ready]:
+            own, value = fold(own, row)
+            made.append((row[1], value))
+        waiting = waiting[ready:]
+        state.update((*own, [w[0] for w in waiting], [w[1] for w in waiting], [w[2] for w in waiting]))
+        if waiting:
+            state.setTimeoutTimestamp(max(int(waiting[0][0] * 1000) + 1, passed + 1))
+        yield pd.DataFrame({key: [group[0]] * len(made), "id": [m[0] for m in made], "value": [m[1] for m in made]})
+
+    held = stream.withWatermark("time", delay)
+    return held.groupBy(key).applyInPandasWithState(
+        run, out, f"{state_schema}, _at array<double>, _id array<bigint>, _more array<string>", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def classify_requests(stream: DataFrame, delay: str, ttl_s: int = fixed.IDEMPOTENCY_TTL_S) -> DataFrame:
+    """key, time (timestamp), at (the same in epoch seconds), id, body -> key, id, outcome, in event time."""
+
+    def fold(state: tuple, row: tuple) -> tuple[tuple, str]:
+        opened, body = state
+        if opened < 0 or row[0] >= opened + ttl_s:
+            return (float(row[0]), row[2]), "new"
+        return state, "replay" if row[2] == body else "conflict"
+
+    out = "key string, id bigint, value string"
+    made = _in_time(stream, "key", delay, fold, (-1.0, ""), "opened double, body string", "body", out)
+    return made.withColumnRenamed("value", "outcome")
 
-    return stream.groupBy(key).applyInPandasWithState(run, schema, "tokens double, seen double", "append", GroupStateTimeout.NoTimeout)
+
+def flag_bursts(
+    stream: DataFrame, key: str, delay: str, capacity: int = fixed.BURST_CAPACITY, refill_s: float = fixed.BURST_REFILL_S
+) -> DataFrame:
+    """key, time (timestamp), at (the same in epoch seconds), id -> key, id, allowed. A bucket refills evenly over `refill_s`."""
+
+    def fold(state: tuple, row: tuple) -> tuple[tuple, bool]:
+        tokens, seen = state
+        if seen >= 0 and row[0] > seen:
+            tokens = min(float(capacity), tokens + (row[0] - seen) / refill_s * capacity)
+        return (tokens - (1.0 if tokens >= 1 else 0.0), float(row[0])), tokens >= 1
+
+    out = f"{key} bigint, id bigint, value boolean"
+    made = _in_time(stream, key, delay, fold, (float(capacity), -1.0), "tokens double, seen double", "", out)
+    return made.withColumnRenamed("value", "allowed")
 
 
 def burst_flags_of(rows: DataFrame, key: str, capacity: int = fixed.BURST_CAPACITY, refill_s: float = fixed.BURST_REFILL_S) -> DataFrame:
     """The same flags over a whole table of (key, at, event_id), in event time whatever the order of files.
 
-    Rows stream through in the order of (key, at, event_id), so a task holds one
-    batch and one bucket however many requests a key has.
+    A pause of `refill_s` always fills the bucket, so requests between two such pauses are a run of
+    their own; runs of one key go to many tasks. Rows of a run stream through in order, so a
+    task holds one batch and one bucket.
     """
     schema = f"{key} bigint, event_id bigint, allowed boolean"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, tokens, seen = None, 0.0, 0.0
         for batch in batches:
             allowed = []
-            for own, at in zip(batch[key], batch["at"], strict=True):
+            for own, at in zip(zip(batch[key], batch["_run"], strict=True), batch["at"], strict=True):
                 if own != current:
                     current, tokens = own, float(capacity)
                 else:
@@ -159,25 +185,11 @@ def burst_flags_of(rows: DataFrame, key: str, capacity: int = fixed.BURST_CAPACI
                 tokens -= 1.0 if tokens >= 1 else 0.0
             yield pd.DataFrame({key: batch[key], "event_id": batch["event_id"], "allowed": allowed})
 
-    ordered = rows.select(key, "at", "event_id").repartition(key).sortWithinPartitions(key, "at", "event_id")
-    return ordered.mapInPandas(run, schema)
-
-
-def drain_bursts(spark: SparkSession, folder: str, pattern: str, schema: T.StructType, capacity: int, refill_s: float) -> DataFrame:
-    """Run the burst job over all files matching a pattern and read back its output."""
-    # a micro-batch is sorted per key in memory, so its size is bounded
-    stream = (
-        spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxBytesPerTrigger", str(256 << 20)).parquet(folder)
-    )
-    requests = stream.select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), "event_id")
-    out = shared_folder(spark, "bursts")
-    query = (
-        flag_bursts(requests, "user_id", capacity, refill_s)
-        .writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state")
-        .outputMode("append").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.read.parquet(f"{out}/data")
+    parts = in_parts(rows.select(key, "at", "event_id"), [key], ["at", "event_id"])
+    paused = with_previous(parts, [key], ["at"]).withColumn("_opens", (F.col("pos") > 0) & (F.col("at") - F.col("prev_at") >= refill_s))
+    runs = running_sum(paused, [key], F.col("_opens").cast("bigint"), "_run")
+    ordered = runs.select(key, "_run", "at", "event_id").repartition(key, "_run").sortWithinPartitions(key, "_run", "at", "event_id")
+    return ordered.mapInPandas(walk, schema)
 
 
 def lag_alarms(stream: DataFrame, check_every_ms: int = 60_000) -> DataFrame:

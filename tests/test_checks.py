@@ -9,19 +9,15 @@ from episode_audit.operators.checks import motion as MO
 from episode_audit.operators.checks import simulation as SI
 from episode_audit.operators.checks import spectrum as SP
 from episode_audit.operators.checks import timing as T
-from episode_audit.operators.checks.series import clamped_samples
+from episode_audit.operators.checks.series import clamped_samples, frame_series, speed_points
+from episode_audit.operators.row_series import in_parts, with_previous
 
 ORDER = ["frame_index"]
 
 
-class _Chunk:
-    """Tiny chunks, so that every rule crosses borders; a column needs a session first."""
-
-    def cast(self, kind):
-        return F.shiftright("frame_index", 1).cast(kind)
-
-
-CHUNK = _Chunk()
+def series_of(frames):
+    """Parts of two frames, so that every rule crosses borders."""
+    return frame_series(frames, ORDER, rows=2)
 
 
 def frames_of(spark, cases):
@@ -52,7 +48,7 @@ def test_timing_reasons(spark):
     }
     frames = frames_of(spark, {e: (c[0], [[0.0]] * len(c[0]), None) for e, c in cases.items()})
     episodes = spark.createDataFrame([(e, c[1], c[2]) for e, c in cases.items()], "episode bigint, rate_hz double, duration_ms double")
-    got = {r.episode: (r.result, r.reason, r.offending_frame) for r in T.timing_check(frames, episodes, ORDER, CHUNK).collect()}
+    got = {r.episode: (r.result, r.reason, r.offending_frame) for r in T.timing_check(series_of(frames), episodes).collect()}
     assert got == {e: tuple(c[3:]) for e, c in cases.items()}
 
 
@@ -82,10 +78,10 @@ def test_kinematics_reasons(spark):
     episodes = spark.createDataFrame([(e, 10.0, c[2], c[3]) for e, c in cases.items()], schema)
     got = {
         r.episode: (r.result, r.reason, r.offending_frame, r.offending_joint)
-        for r in K.kinematics_check(frames, episodes, ORDER, CHUNK).collect()
+        for r in K.kinematics_check(series_of(frames), episodes).collect()
     }
     assert got == {e: c[4] for e, c in cases.items()}
-    sharp = K.kinematics_check(frames.filter("episode = 5"), episodes.filter("episode = 5"), ORDER, CHUNK, max_accel=20.0).first()
+    sharp = K.kinematics_check(series_of(frames.filter("episode = 5")), episodes.filter("episode = 5"), max_accel=20.0).first()
     # up by 0.15 then down by 0.15 within two steps of 0.1 s: 30 rad/s^2 at frame 3
     assert (sharp.reason, sharp.offending_frame, sharp.offending_joint, round(sharp.value, 6)) == ("observation.state acceleration spike", 3, 0, -30.0)
 
@@ -105,7 +101,8 @@ def test_clamped_samples_match_interpolation(spark):
     points = {e: sorted((float(t), float(v)) for t, v in zip(rng.random(n) * 4, rng.random(n))) for e, n in ((1, 1), (2, 2), (3, 40))}
     rows = spark.createDataFrame([(e, t, v) for e, ps in points.items() for t, v in ps], "episode bigint, t double, speed double")
     grid = spark.createDataFrame([(e, 0.0, 25) for e in points], "episode bigint, t0 double, samples bigint")
-    got = {(r.episode, r.k): r.value for r in clamped_samples(rows, grid, 5, F.floor("t")).collect()}
+    linked = with_previous(in_parts(rows, ["episode"], ["t"], rows=3), ["episode"], ["t", "speed"])
+    got = {(r.episode, r.k): r.value for r in clamped_samples(linked, grid, 5).collect()}
     assert len(got) == 75
     for (e, k), v in got.items():
         assert v == pytest.approx(interp(points[e], k / 5), abs=1e-9)
@@ -116,12 +113,13 @@ def test_motion_correlation(spark):
     moving = [[np.sin(3 * t * t)] for t in ts]
     speeds = [abs(6 * t * np.cos(3 * t * t)) for t in np.arange(25) / 5]
     rng = np.random.default_rng(1)
-    series = {1: speeds, 2: list(rng.random(25)), 3: [1.0] * 25, 4: [1.0], 6: [-s for s in speeds]}
+    energy = {1: speeds, 2: list(rng.random(25)), 3: [1.0] * 25, 4: [1.0], 6: [-s for s in speeds]}
     frames = frames_of(spark, {e: (ts, moving, None) for e in (1, 2, 3, 4, 5, 6)})
-    motion = spark.createDataFrame([(e, k, float(v)) for e, vs in series.items() for k, v in enumerate(vs)], "episode bigint, k bigint, energy double")
+    motion = spark.createDataFrame([(e, k, float(v)) for e, vs in energy.items() for k, v in enumerate(vs)], "episode bigint, k bigint, energy double")
     episodes = spark.createDataFrame([(e,) for e in range(1, 8)], "episode bigint")
-    rho = MO.motion_correlation(frames, motion, ORDER, CHUNK, F.floor("t"))
-    got = {r.episode: (r.result, r.reason, r.downgraded_from) for r in MO.sensor_check(episodes, rho, motion, frames).collect()}
+    series = series_of(frames)
+    rho = MO.motion_correlation(series, speed_points(series), motion)
+    got = {r.episode: (r.result, r.reason, r.downgraded_from) for r in MO.sensor_check(episodes, rho, motion, series).collect()}
     assert got[1] == ("pass", "", "")
     assert got[3] == ("inconclusive", "degenerate variance", "")
     assert got[4] == ("inconclusive", "insufficient motion samples", "")
@@ -138,9 +136,10 @@ def test_simulation_scores(spark):
     frames = frames_of(spark, {1: real, 2: synthetic, 3: synthetic})
     motion = spark.createDataFrame([(e, k, float(e == 1)) for e in (1, 2, 3) for k in range(50)], "episode bigint, k bigint, energy double")
     episodes = spark.createDataFrame([(1, "teleop_real"), (2, "mixed"), (3, "teleop_sim"), (4, "mixed")], "episode bigint, source string")
-    features = SI.repeat_and_jitter(frames, ORDER, CHUNK)
-    share = SI.spectral_share(frames, ORDER, CHUNK, F.floor("t"))
-    got = {r.episode: (r.result, r.reason, r.downgraded_from, r.score) for r in SI.simulation_check(episodes, frames, features, share, motion).collect()}
+    series = series_of(frames)
+    features = SI.repeat_and_jitter(series)
+    share = SI.spectral_share(series, speed_points(series))
+    got = {r.episode: (r.result, r.reason, r.downgraded_from, r.score) for r in SI.simulation_check(episodes, features, share, motion).collect()}
     assert got == {1: ("pass", "", "", 0), 2: ("inconclusive", "", "fail", 3), 3: ("pass", "declared sim", "", None), 4: ("inconclusive", "no frames", "", None)}
 
 

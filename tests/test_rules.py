@@ -251,3 +251,42 @@ def test_big_endian(spark):
         draws.integer(F.lit(0.999), F.lit(2.5), F.lit(2.9)).alias("empty_range"),
     ).first()
     assert tuple(row) == ("00000102", None, None, 3)
+
+
+def test_unknown_keys_at_any_depth(spark):
+    shape = {"a": None, "o": {"x": None, "deep": {"y": None}}, "l": [{"p": None, "q": {"z": None}}], "free": "free"}
+    cases = {
+        '{"a":1,"o":{"x":1,"deep":{"y":2}},"l":[{"p":1},{"q":{"z":0}}],"free":{"anything":1}}': [],
+        '{"b":1,"o":{"x":1,"w":2,"deep":{"y":2,"v":3}}}': ["b", "o.deep.v", "o.w"],
+        '{"l":[{"p":1},{"r":1},{"q":{"u":0}}]}': ["l[1].r", "l[2].q.u"],
+        '{"o":null,"l":[],"free":[1]}': [],
+        '{"o":[{"w":1}],"l":{"p":1}}': [],
+        "[]": [],
+        "no json": [],
+    }
+    rows = spark.createDataFrame([(t,) for t in cases] + [(None,)], "t string")
+    got = {r.t: r.u for r in rows.select("t", F.array_sort(validate.unknown_keys(F.col("t"), shape)).alias("u")).collect()}
+    assert got == {**cases, None: []}
+
+
+def test_corpus_manifest_rules(spark):
+    good = ("1", "corpus_manifest", "o", "t", "0x" + "0" * 64, None, None, 3, ["mixed", "sim"], None)
+    schema = "v string, kind string, org_id string, title string, terms_hash string, task_id string, corpus_root string, episode_count int, sources array<string>, sealed_at bigint"
+    change = lambda i, v: (*good[:i], v, *good[i + 1 :])
+    cases = [
+        (good, 3, 3, []),
+        (change(0, "2"), 3, 3, ["v must be 1"]),
+        (change(2, ""), 3, 3, ["org_id is required"]),
+        (change(4, "0xAB"), 3, 3, ["invalid terms_hash"]),
+        (change(5, "x"), 3, 3, ["invalid task_id"]),
+        (change(7, 4), 3, 3, ["episode_count is not the number of episodes"]),
+        (change(7, None), 3, 2, ["episodes must be unique"]),
+        (change(8, ["sim", "mixed"]), 3, 3, ["sources must be sorted and unique"]),
+        (change(8, ["sim", "sim"]), 3, 3, ["sources must be sorted and unique"]),
+        (change(8, ["real"]), 3, 3, ["source is not known"]),
+        (change(8, None), 3, 3, []),
+        (change(9, -1), 3, 3, ["sealed_at must not be negative"]),
+    ]
+    rows = spark.createDataFrame([(i, m, a, b) for i, (m, a, b, _) in enumerate(cases)], f"i int, m struct<{', '.join(p.replace(' ', ':', 1) for p in schema.split(', '))}>, a int, b int")
+    got = {r.i: r.x for r in rows.select("i", validate.corpus_manifest_issues(F.col("m"), F.col("a"), F.col("b")).alias("x")).collect()}
+    assert got == {i: c[3] for i, c in enumerate(cases)}
