@@ -70,35 +70,35 @@ def search_sql(dof: int) -> str:
       greatest(least(floor((f[i + 1][j + 1] - f[i][j + 1] + 1.0) / {width!r}), {bins - 1}), 0) = b)) / greatest(n - 1, 1)::DOUBLE)
       || list_transform(range(0, {terms}), lambda k: list_sum(list_transform(range(0, n), lambda i: f[i + 1][j + 1] * cos(pi() / n * (i + 0.5) * k))) / n)"""
     return _planes_sql(dof * (bins + terms), "normals") + f""",
-firsts AS MATERIALIZED (SELECT *, min(idx) OVER (PARTITION BY kind, n, f) AS first FROM traj),
+distinct_ones AS MATERIALIZED (SELECT *, min(idx) OVER (PARTITION BY kind, n, f) AS first FROM traj),
 described AS MATERIALIZED (
-  SELECT idx, kind, n, f, flatten(list_transform(range(0, {dof}), lambda j: {joint})) AS vec FROM firsts WHERE idx = first),
+  SELECT idx, kind, n, f, flatten(list_transform(range(0, {dof}), lambda j: {joint})) AS vec FROM distinct_ones WHERE idx = first),
 signs AS MATERIALIZED (
   SELECT idx, kind, table_no, sum(CASE WHEN list_dot_product(vec, normal::DOUBLE[]) >= 0 THEN 1::BIGINT << p ELSE 0 END) AS bucket
   FROM described, normals GROUP BY idx, kind, table_no),
 pairs AS MATERIALIZED (
   SELECT DISTINCT a.idx AS probe, b.idx AS candidate FROM signs a JOIN signs b
   ON a.kind = b.kind AND a.table_no = b.table_no AND a.bucket = b.bucket AND b.idx < a.idx),
-sides AS MATERIALIZED (
+matched AS MATERIALIZED (
   SELECT probe, candidate, a.n AS n, b.n AS m, a.f AS f, list_transform(b.f, lambda r: list_transform(r, lambda v: v::FLOAT::DOUBLE)) AS g,
     greatest(1, ceil({fixed.WARP_BAND} * greatest(a.n, b.n))::BIGINT, abs(a.n - b.n)) AS band
   FROM pairs JOIN described a ON a.idx = probe JOIN described b ON b.idx = candidate),
 warp AS (
-  SELECT probe, candidate, 0::BIGINT AS i, [0::DOUBLE] || list_transform(range(0, m), lambda j: 'Infinity'::DOUBLE) AS row FROM sides
+  SELECT probe, candidate, 0::BIGINT AS i, [0::DOUBLE] || list_transform(range(0, m), lambda j: 'Infinity'::DOUBLE) AS row FROM matched
   UNION ALL
   SELECT probe, candidate, i + 1, list_transform(range(0, m + 1), lambda j: CASE WHEN j - 1 < lo OR j - 1 > hi THEN 'Infinity'::DOUBLE
-      ELSE total[j - lo] + list_min(list_transform(range(1, j - lo + 1), lambda q: reach[q] - (total[q] - cost[q]))) END)
-  FROM (
+      ELSE total[j - lo] + list_min(slack[1:j - lo]) END)
+  FROM (SELECT *, list_transform(range(1, hi - lo + 2), lambda q: reach[q] - (total[q] - cost[q])) AS slack FROM (
     SELECT *, list_transform(range(1, hi - lo + 2), lambda q: list_sum(cost[1:q])) AS total FROM (
       SELECT w.probe, w.candidate, w.i, m, greatest(0, w.i - band) AS lo, least(m - 1, w.i + band) AS hi,
         list_transform(range(greatest(0, w.i - band), least(m - 1, w.i + band) + 1), lambda j:
           sqrt(list_sum(list_transform(range(1, {dof + 1}), lambda x: (f[w.i + 1][x] - g[j + 1][x]) * (f[w.i + 1][x] - g[j + 1][x]))))) AS cost,
         list_transform(range(greatest(0, w.i - band), least(m - 1, w.i + band) + 1), lambda j: least(w.row[j + 1], w.row[j + 2])) AS reach
-      FROM warp w JOIN sides s ON w.probe = s.probe AND w.candidate = s.candidate WHERE w.i < s.n))),
-measured AS (SELECT w.probe, w.candidate, w.row[s.m + 1] / (s.n + s.m) AS d FROM warp w JOIN sides s ON w.probe = s.probe AND w.candidate = s.candidate WHERE w.i = s.n),
+      FROM warp w JOIN matched s ON w.probe = s.probe AND w.candidate = s.candidate WHERE w.i < s.n)))),
+measured AS (SELECT w.probe, w.candidate, w.row[s.m + 1] / (s.n + s.m) AS d FROM warp w JOIN matched s ON w.probe = s.probe AND w.candidate = s.candidate WHERE w.i = s.n),
 nearest AS (
   SELECT probe AS idx, arg_min(candidate, (round(d, 12), candidate)) AS nearest, min(d) AS d FROM measured GROUP BY probe
-  UNION ALL SELECT idx, first, 0.0 FROM firsts WHERE idx > first)"""
+  UNION ALL SELECT idx, first, 0.0 FROM distinct_ones WHERE idx > first)"""
 
 
 def verdict_sql(d: str = "d") -> dict[str, str]:

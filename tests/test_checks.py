@@ -152,3 +152,45 @@ def test_long_signals_in_parts_equal_the_direct_transform(spark):
     assert sorted(got) == [1, 2, 3, 4, 5]
     for e, vs in signals.items():
         assert got[e] == pytest.approx(SP.power_share(vs), abs=1e-9)
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_all_checks_in_one_run_equal_each_alone(spark, monkeypatch):
+    """Five checks, one series: the events are scanned for it once to be counted and once to be sorted."""
+    from episode_audit import fixed_values as fixed
+    from episode_audit.operators import row_series
+    from episode_audit.operators.checks import neardup as N
+    from episode_audit.plans import frame_checks as P
+    from episode_audit.plans import load_all
+
+    made = []
+    in_parts_ = row_series.in_parts
+    monkeypatch.setattr("episode_audit.operators.checks.series.in_parts", lambda *a, **k: made.append(a[0]) or in_parts_(*a, **k))
+    queries = load_all().QUERIES
+    rows = queries["run_all_checks"](spark, DATA).collect()
+    assert len(made) == 1  # one series serves all checks
+    got = {(r.episode, r.check_name): (r.result, r.reason) for r in rows}
+    episodes = {r.episode for r in rows}
+    assert set(got) == {(e, c) for e in episodes for c in fixed.CHECK_SETTINGS}
+    four = {(r.episode, r.check_name): (r.result, r.reason) for r in queries["run_checks"](spark, DATA).collect()}
+    assert {k: v for k, v in got.items() if k[1] != "dedup.v1"} == four
+    series = frame_series(P.state_frames(spark, DATA).drop("action"), P.ORDER, rows=7)
+    info = P.limited_episodes(spark, DATA).select("episode", F.col("episode").alias("idx"), F.lit("arm").alias("embodiment"), "joint_limits")
+    alone = {r.episode: (r.result, r.reason) for r in N.neardup_check(series, info).collect()}
+    for e in episodes:
+        assert got[e, "dedup.v1"] == (("inconclusive", "unreadable") if e % 9 == 4 else alone[e])
+
+
+def test_no_part_of_a_hot_episode_is_large(spark):
+    """One episode holds a third of all frames, at one time; windows and joins see parts of a fixed number of rows."""
+    frames = spark.range(900).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 50).cast("bigint").alias("episode"), F.lit(1.0).alias("ts"),
+        F.col("id").alias("frame_index"), F.array(F.col("id").cast("double")).alias("state"),
+    )
+    series = frame_series(frames, ORDER, rows=20)
+    sizes = [r["count"] for r in series.groupBy("_part", "episode").count().collect()]
+    assert max(sizes) <= 20 and sum(sizes) == 900
+    hot = series.filter("episode = -1").orderBy("frame").collect()
+    assert [r.frame for r in hot] == list(range(300)) and all(r.prev2_state == hot[i - 2].state for i, r in enumerate(hot) if i > 1)
