@@ -187,7 +187,7 @@ def test_traversal_visits_the_nearest_cells():
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_keeps_clean_documents_and_follows_its_stages(spark):
