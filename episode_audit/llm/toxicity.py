@@ -14,6 +14,8 @@ Training takes a bounded sample: at most `POSITIVES` and `NEGATIVES` labelled
 rows, those with the lowest hash of their id, texts above `LONGEST` characters
 left out. In every epoch after the first, the worst passages stand for a toxic
 document; clean documents give passages from all of the text, a part an epoch.
+Whole epochs follow each other until `STEPS` gradient steps are done, whatever the
+size of the sample. One task of an executor trains; the driver gets the effects alone.
 Scoring reads every word of every document. As the softmax is linear, a word's
 whole effect is one number, so scoring adds numbers and sends 1 MB to tasks.
 
