@@ -231,8 +231,7 @@ SELECT corpus, episodes, lower(hex(h)) AS root FROM t{LEVELS} JOIN sizes USING (
 def corpus_root(spark, sf_dir):
     leaves = corpus_leaves(spark, sf_dir)
     largest = P.table(spark, sf_dir, "orders").count()  # a collection holds each record once
-    sizes = leaves.groupBy("corpus").agg(F.count(F.lit(1)).alias("episodes"))
-    return M.root(leaves, largest, ["corpus"]).join(sizes, "corpus").select("corpus", "episodes", H.hex_text(F.col("root")).alias("root"))
+    return M.root(leaves, largest, ["corpus"], count="episodes").select("corpus", "episodes", H.hex_text(F.col("root")).alias("root"))
 
 
 # ------------------------------------------------------------- revocations

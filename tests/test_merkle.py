@@ -104,3 +104,19 @@ def test_consistency_of_every_pair(spark, leaves):
         assert [bytes(x) for x in r.proof] == plain_consistency(LEAVES[: r.n], r.m), (r.m, r.n)
         assert r.ok, (r.m, r.n)
         assert r.m == r.n or not r.swapped
+
+
+@pytest.mark.parametrize("bits", [2, 10])
+def test_proofs_bring_columns_and_heads_along(spark, forests, bits):
+    """Kept columns, roots and counts come with the proofs, for all entries or for those wanted."""
+    rows = forests.withColumn("twice", F.col("idx") * 2).withColumn("third", F.col("idx") % 3 == 0)
+    plain = {(r.n, r.idx): r.proof for r in M.inclusion_proofs(forests, 70, ["n"], bits).collect()}
+    got = M.inclusion_proofs(rows, 70, ["n"], bits, keep=["twice", "third"], wanted="third", heads=True).collect()
+    assert {(r.n, r.idx) for r in got} == {k for k in plain if k[1] % 3 == 0}
+    for r in got:
+        assert r.twice == 2 * r.idx and r.entries == r.n and r.proof == plain[r.n, r.idx] and bytes(r.root) == plain_root(LEAVES[: r.n])
+
+
+def test_root_counts_its_entries(forests):
+    got = M.root(forests, 70, ["n"], BITS, count="entries").collect()
+    assert len(got) == 70 and all(r.entries == r.n for r in got)
