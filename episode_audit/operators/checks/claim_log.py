@@ -12,7 +12,7 @@ from ...functions import hashing as H
 from ...functions.records import encode
 from ...session import cut_lineage
 from ..growing_tree import GrowingTree, Head
-from ..row_series import numbered
+from ..row_series import numbered, stored
 from .issue import downgrade
 
 IDENTITY = ("subject", "check", "verifier", "result", "detail_hash")
@@ -117,7 +117,8 @@ def log_claims(claims: DataFrame, logged: DataFrame, tree: GrowingTree, batch: s
     first = fit.groupBy(*IDENTITY).agg(F.min(F.struct("issued_at", "detail")).alias("_first"))
     new = first.join(logged.select(*IDENTITY).distinct(), list(IDENTITY), "left_anti").select(*IDENTITY, "_first.*")
     signed = signature if signature is not None else F.lit("")
-    records = new.withColumn("record", record_of(signed))
+    # kept once: numbering counts, samples and sorts its rows, each of which would work the claims out again
+    records = stored(new, "claims").withColumn("record", record_of(signed))
     done = tree.head(batch)
     size = done.first if done else (tree.head() or Head("", "", 0, 0, b"", [])).size
     rows = cut_lineage(
