@@ -152,3 +152,25 @@ def test_burst_flags_do_not_depend_on_the_order_of_rows(spark):
         df = spark.createDataFrame(rows, "user bigint, at double, event_id bigint").repartition(3)
         got = {r.event_id: r.allowed for r in burst_flags_of(df, "user", 3, 60).collect()}
         assert got == expected
+
+
+def test_claims_are_worked_out_once_before_they_are_numbered(spark, monkeypatch):
+    """Numbering reads its rows several times; they are stored rows, not a plan over the claims."""
+    from episode_audit.operators.checks import claim_log as L
+    from episode_audit.plans import load_all
+
+    seen, numbered = [], L.numbered
+    monkeypatch.setattr(L, "numbered", lambda df, *a, **k: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or numbered(df, *a, **k))
+    assert load_all().QUERIES["logged_claims"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(seen) == 1 and "Aggregate" not in seen[0] and "Join" not in seen[0]
+
+
+def test_report_rows_carry_outcomes_instead_of_proofs(spark):
+    """What is joined over members and records holds neither proofs nor siblings."""
+    from episode_audit.operators import reports as R
+    from episode_audit.plans import collections as C
+
+    placed, records, consents = C.report_tables(spark, "/root/testdata/sf0.001")
+    places, checked = R.verify_places(placed), R.verify_records(records, consents)
+    assert "corpus_proof" not in places.columns and checked.columns == ["idx", "held"]
+    assert places.filter("placed").count() == placed.count() and checked.filter("forall(held, x -> x)").count() == checked.count() > 0
