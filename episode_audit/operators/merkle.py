@@ -191,10 +191,12 @@ def inclusion_proofs(
     entries_of = F.transform("hashes", entry)
     if wanted:
         entries_of = F.filter(entries_of, lambda x: x.getField("kept").getField(wanted))
-    leveled = whole.select(*group, "_block", levels.alias("levels"), "upper", *extra, entries_of.alias("listed"))
-    inside = leveled.select(*group, "levels", "upper", *extra, F.explode("listed").alias("x"))
+    # siblings are taken before the spreading, which would copy the levels of a block to each of its entries
+    listed = F.transform(entries_of, lambda x: x.withField("lower", lower(x.getField("j"))))
+    leveled = whole.select(*whole.columns, levels.alias("levels"))
+    inside = leveled.select(*group, "upper", *extra, F.explode(listed).alias("x"))
     names = [F.col(f"x.kept.{c}").alias(c) for c in keep]
-    return inside.select(*group, "x.idx", "x.leaf", F.concat(lower(F.col("x.j")), "upper").alias("proof"), *extra, *names)
+    return inside.select(*group, "x.idx", "x.leaf", F.concat("x.lower", "upper").alias("proof"), *extra, *names)
 
 
 def inclusion_root(leaf: Column, idx: Column, size: Column, proof: Column) -> Column:
