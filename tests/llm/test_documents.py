@@ -226,6 +226,44 @@ def test_line_dedup_keeps_every_line_without_words(spark):
     assert {r.doc_id: r.text for r in line_dedup.drop_lines(docs).collect()} == {0: texts[0], 1: "\t\n\t\n \t \x0b\x0c\n\r", 2: texts[2]}
 
 
+def near_lines(seed, words, count):
+    """Documents of lines that are drawn from a few and changed in a word, and which of them go by brute force."""
+    rng = random.Random(seed)
+    words = [f"v{k}" for k in range(words)]
+    common = [rng.choice(words) for _ in range(9)]
+    lines = [[rng.choice(words) for _ in range(rng.choice([2, 8, 20, 45]))] + common for _ in range(25)]
+    docs, seen, gone = [], [], {}
+    for i in range(count):
+        picked = [list(rng.choice(lines)) for _ in range(3)]
+        for line in picked:
+            line[rng.randrange(len(line))] = rng.choice(words)
+        docs.append((i, "\n".join(map(" ".join, picked))))
+        for at, w in enumerate(picked):
+            s = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+            if any(4 * len(s & t) >= 3 * len(s | t) for t in seen):
+                gone.setdefault(i, []).append(at)
+            seen.append(s)
+    return docs, gone
+
+
+def test_line_dedup_hashes_a_word_once(spark):
+    docs, gone = near_lines(5, 50, 30)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.removed for r in line_dedup.removed_lines(df).collect() if r.n_removed} == gone
+    lines = line_dedup.split_lines(df, "doc_id", "text")
+    by_line = {r.line: r for r in line_dedup.with_tokens(line_dedup.with_words(lines).withColumnRenamed("words", "hashes")).collect()}
+    for line, row in by_line.items():
+        w = line.split()
+        assert len(row.hashes) == len(w) and len(row.tokens) == max(1, len(w) - 4)
+        assert len(set(row.tokens)) == len({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    levels = line_dedup.rarity_levels(lines)
+    coded = line_dedup.with_codes(lines, levels, "line")
+    assert not coded.schema["codes"].dataType.containsNull  # sorted as plain numbers
+    for row in coded.collect():
+        expected = {(levels[(t % 2**64) >> 48] << 56) | ((t % 2**64) >> 8) for t in by_line[row.line].tokens}
+        assert row.codes == sorted(expected)
+
+
 # --- SentencePiece
 
 
