@@ -264,6 +264,27 @@ def test_line_dedup_hashes_a_word_once(spark):
         assert row.codes == sorted(expected)
 
 
+def test_line_dedup_lowers_bytes(spark):
+    """Every character beyond ASCII, alone and beside others, stays a line of its own; A-Z is folded and nothing else is."""
+    points = [*range(0x80, 0x3000), *range(0xE000, 0xE100), *range(0xFF00, 0x10400), *range(0x1F600, 0x1F650), 0x10FFFF]
+    texts = [f"Ab{chr(a)}{chr(b)}" for a, b in zip(points, points[1:] + points[:1])] + [f"{chr(a)} Q" for a in points]
+    texts += ["\u00c9T\u00c9", "\u00e9t\u00e9", "\u0130I", "i\u0307i", "\u03a3 \u03c3 \u03c2"]
+    df = spark.createDataFrame([(i, f"{t}\n{t.swapcase() if t.isascii() else t.replace('A', 'a').replace('Q', 'q')}") for i, t in enumerate(texts)], "doc_id long, text string")
+    lines = line_dedup.split_lines(df, "doc_id", "text")
+    assert "translate" not in lines._jdf.queryExecution().optimizedPlan().toString()  # letter by letter, several times slower
+    rows = line_dedup.with_words(lines).collect()
+    by_id = {}
+    for r in rows:
+        by_id.setdefault(r.id, set()).add(r.line)
+        assert len(r.words) == len([w for w in re.split(r"[\x20\x09-\x0D]+", texts[r.id]) if w])
+    assert all(len(found) == 1 for found in by_id.values())
+    assert len(set.union(*by_id.values())) == len(texts)
+    words = ["one two\tthree \x0bfour\x0c\rfive six", "one two three four five six", "\t\x0b\x0c\r ", "\u0085 \u00a0"]
+    df = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    hashes = {r.id: r.words for r in line_dedup.with_words(line_dedup.split_lines(df, "doc_id", "text")).collect()}
+    assert hashes[0] == hashes[1] and len(hashes[1]) == 6 and hashes[2] == [] and len(hashes[3]) == 2
+
+
 # --- SentencePiece
 
 
