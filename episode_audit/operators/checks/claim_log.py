@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ... import fixed_values as fixed
 from ...functions import hashing as H
 from ...functions.records import encode
-from ...session import cut_lineage
 from ..growing_tree import GrowingTree, Head
 from ..row_series import numbered, stored
 from .issue import downgrade
@@ -118,12 +117,11 @@ def log_claims(claims: DataFrame, logged: DataFrame, tree: GrowingTree, batch: s
     new = first.join(logged.select(*IDENTITY).distinct(), list(IDENTITY), "left_anti").select(*IDENTITY, "_first.*")
     signed = signature if signature is not None else F.lit("")
     # kept once: numbering counts, samples and sorts its rows, each of which would work the claims out again
-    records = stored(new, "claims").withColumn("record", record_of(signed))
+    kept = stored(new, "claims")
     done = tree.head(batch)
     size = done.first if done else (tree.head() or Head("", "", 0, 0, b"", [])).size
-    rows = cut_lineage(
-        numbered(records.withColumn("leaf", H.leaf_hash(F.col("record"))), [], list(IDENTITY), "_pos")
-        .withColumn("idx", F.col("_pos") + size)
-        .drop("_pos")
-    )
+    # records and leaves follow from the rest of a row: they are neither dealt out nor written with it
+    placed = stored(numbered(kept, [], list(IDENTITY), "_pos").withColumn("idx", F.col("_pos") + size).drop("_pos"), "logged")
+    records = placed.withColumn("record", record_of(signed)).withColumn("leaf", H.leaf_hash(F.col("record")))
+    rows = records.select(*kept.columns, "record", "leaf", "idx")
     return rows, tree.append(rows.select("idx", "leaf"), batch)

@@ -122,3 +122,15 @@ def test_claims_are_complete_and_logged_once(spark, tmp_path, outcomes):
     assert same == head and sorted((r.idx, bytes(r.leaf)) for r in again.collect()) == [(r.idx, bytes(r.leaf)) for r in rows]
     more, after = C.log_claims(claims, logged, tree, "run-2")  # nothing new
     assert more.count() == 0 and (after.size, after.root) == (head.size, head.root)
+
+
+def test_logged_claims_are_stored_without_what_follows_from_them(spark, tmp_path, outcomes):
+    subjects = outcomes.select("episode").distinct().withColumn("subject", F.unhex(F.sha2(F.col("episode").cast("string").cast("binary"), 256)))
+    claims = C.claims_of(outcomes, subjects, "key-1", 77, fixed.CHECK_SETTINGS)
+    rows, _ = C.log_claims(claims, claims.limit(0), G.GrowingTree(spark, str(tmp_path / "log"), bits=2), "run-1", F.hex("subject"))
+    files = rows.inputFiles()
+    assert files and not {"record", "leaf"} & set(spark.read.parquet(*files).columns)
+    assert rows.columns == [*C.IDENTITY, "issued_at", "detail", "record", "leaf", "idx"]
+    for r in rows.collect():
+        assert hashlib.sha256(bytes(r.subject).hex().upper().encode()).digest() in bytes(r.record)
+        assert hashlib.sha256(b"\0" + bytes(r.record)).digest() == bytes(r.leaf)
